@@ -77,11 +77,12 @@ def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def pairs_by_offset(starts: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs (i, j), i < j, of rows in one job that need comparing, an offset j - i at a time."""
+def pairs_by_offset(starts: np.ndarray, side: np.ndarray, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (i, j), i < j, of rows in one job that need comparing, an offset j - i at a time; with
+    most, only of jobs of so many rows."""
     size = np.diff(starts)
     left = np.repeat(starts[1:], size) - np.arange(starts[-1])  # rows from i to its job's end
-    i = np.flatnonzero(left > 1)
+    i = np.flatnonzero((left > 1) & (True if most is None else np.repeat(size <= most, size)))
     d = 1
     while len(i):
         j = i + d

@@ -4,27 +4,63 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glossa.llm import simhash, substring
+from glossa.llm import bpe, embed_dedup, license, lm, packing, pii, simhash, substring, syncmers, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.digest(substring.dedup_substrings(_documents(spark, sf_dir)))
+    return substring.digest(substring.dedup_substrings(_table(spark, sf_dir)))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.digest(simhash.near_duplicates(_documents(spark, sf_dir)))
+    return simhash.digest(simhash.near_duplicates(_table(spark, sf_dir)))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_lm_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(_table(spark, sf_dir))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir)).drop("scores")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(_table(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_substring_dedup, op4_simhash)}
+    return {
+        f.__name__: f
+        for f in (op1_byte_bpe, op2_embedding_dedup, op3_substring_dedup, op4_simhash, op5_packing, op6_lm_lattice, op7_syncmers, op8_pii, op9_license_scan, op10_toxicity)
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -88,12 +88,14 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     sequence also starts elsewhere, as runs. Only rows with such windows appear."""
     ship(docs.sparkSession)
     all_ = phrases(docs, window, gram)
-    shared = all_.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # written, so that the joins below have plain shuffles on both sides, which can be split when skewed
+    shared = written(all_.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
     hot = written(all_.join(shared, "anchor", "left_semi"))
-    known = hot.groupBy("anchor", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("rk", "a", "n")).alias("at"))
+    forget(shared)
+    known = written(hot.groupBy("anchor", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("rk", "a", "n")).alias("at")))
     whole = hot.join(known.where("c > 1").select("anchor", "phrase"), ["anchor", "phrase"], "left_semi").select("rk", "a", "n")
 
-    mixed = known.groupBy("anchor").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("anchor")
+    mixed = written(known.groupBy("anchor").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1").select("anchor"))
     open_ = known.join(mixed, "anchor").select("at.rk", "at.a", "at.n", F.expr("c = 1 as single"))
     open_ = open_.groupBy("rk").agg(F.collect_list(F.struct("a", "n", "single")).alias("open"))
 
@@ -118,11 +120,11 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     texts = packed(docs, "rk")
     w = written(open_.join(texts, "rk").select("rk", "open", "z").mapInArrow(windows, "w long, rk long, a int, single boolean"))
-    again = w.groupBy("w").agg(F.count("*").alias("c"), F.max("single").alias("any")).where("c > 1 and any").select("w")
+    again = written(w.groupBy("w").agg(F.count("*").alias("c"), F.max("single").alias("any")).where("c > 1 and any").select("w"))
     edge = w.where("single").join(again, "w", "left_semi").select("rk", "a", F.lit(1).alias("n"))
     spans = written(whole.union(edge).groupBy("rk").agg(F.collect_list(F.struct("a", "n")).alias("spans")))
-    forget(hot)
-    forget(w)
+    for t in (hot, known, mixed, w, again):
+        forget(t)
     return spans
 
 
