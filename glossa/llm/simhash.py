@@ -2,10 +2,16 @@
 
 A 64-bit fingerprint is read as segments of 23, 23 and 18 bits. The perfect Golay code [23,12,7] puts
 every 23-bit word within 3 bits of exactly one codeword; a word's keys are all codewords within 4 bits
-(one or six of them), and two words that differ in at most 2 bits always share a key. Three wrong bits
-over the segments leave two cases: neither 23-bit segment holds all three, so both share a key (a pair
-of codeword indices); or one of them holds all three, and the other two segments are equal. The first
-case gives up to 36 keys, the second two. Rows with a common key are compared bit by bit.
+(one or six of them), and two words that differ in at most 2 bits always share a key. How three wrong
+bits can lie in the segments decides what else must be equal, and every key takes that along, so that
+keys have 31 bits or more and rows seldom meet by chance:
+
+last segment right, at most 2 in each other   both others' codewords and the last segment
+all three in one 23-bit segment               the two other segments
+last wrong, one other right                   that one and the other's codewords
+one in each segment                           a right half of each (8 choices)
+
+Rows with a common key are compared bit by bit.
 """
 
 from __future__ import annotations
@@ -73,9 +79,15 @@ def keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s0, s1, s2 = ((f >> np.uint64(a)) & np.uint64(m) for a, m in ((0, _M23), (23, _M23), (46, (1 << 18) - 1)))
     s0, s1, s2 = (s.astype(np.int64) for s in (s0, s1, s2))
     n0, n1 = _nearby(s0), _nearby(s1)
-    both = (n0[:, :, None] << 12 | n1[:, None, :]).reshape(len(f), 36)
-    rest = np.stack([s1 | s2 << 23 | 1 << 60, s0 | s2 << 23 | 2 << 60], 1)
-    k = np.sort(np.concatenate([both, rest], 1), 1)
+    halves = [[s & ((1 << n) - 1), s >> n | 1 << 12] for s, n in ((s0, 12), (s1, 12), (s2, 9))]
+    k = [
+        ((n0[:, :, None] << 12 | n1[:, None, :]) << 18 | s2[:, None, None]).reshape(len(f), 36),
+        np.stack([s1 | s2 << 23 | 1 << 58, s0 | s2 << 23 | 2 << 58], 1),
+        s0[:, None] << 12 | n1 | 3 << 58,
+        s1[:, None] << 12 | n0 | 4 << 58,
+        np.stack([a << 26 | b << 13 | c | 5 << 58 for a in halves[0] for b in halves[1] for c in halves[2]], 1),
+    ]
+    k = np.sort(np.concatenate(k, 1), 1)
     new = np.ones(k.shape, bool)
     new[:, 1:] = k[:, 1:] != k[:, :-1]
     row = np.nonzero(new)[0]
