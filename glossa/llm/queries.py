@@ -63,5 +63,30 @@ def queries() -> dict[str, Query]:
     }
 
 
+#: Fingerprints (XXH64), merges of ranks, learned scores and hashed anchors have no DuckDB SQL; tests/llm holds
+#: those queries against brute force.
+_PAIRS = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS low FROM r GROUP BY 1),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, low AS component_id, vec_id = low AS kept
+FROM embeddings JOIN c ON c.x = vec_id LEFT JOIN n ON n.x = vec_id"""
+
+_WINDOWS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+t AS (SELECT r, unnest(range(len(ws))) AS i, unnest(ws) AS word, len(ws) AS n FROM d),
+h AS (SELECT r, i, n, word, md5(string_agg(word, ' ') OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) AS h FROM t),
+again AS (SELECT h FROM h WHERE i <= n - 35 GROUP BY 1 HAVING count(*) > 1),
+s AS (SELECT r, i, word, (i <= n - 35 AND again.h IS NOT NULL)::INT AS starts FROM h LEFT JOIN again ON h.h = again.h),
+c AS (SELECT r, i, word, max(starts) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM s),
+k AS (SELECT r, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM c GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_embedding_dedup": _PAIRS, "op3_substring_dedup": _WINDOWS}
