@@ -8,6 +8,10 @@ from the vocabulary's own ranks. The forward recursion in log space sums over
 all segmentations; arcs never cross words, so a text's marginal probability is the product over its
 words and its end.
 
+There is a set of weights for each kind of text (the CLASSES most frequent values of `lang` among the
+learned rows; one kind where there is no such column). Scoring doesn't look at a text's kind: it sums
+over all kinds, weighted by their share of the learned texts.
+
 Corpus counts are DataFrames keyed by word; documents meet them by block (some megabytes of documents
 that were written together), so that a word crosses the network once a block and not once a document.
 """
@@ -28,10 +32,10 @@ from pyspark.sql import functions as F
 from glossa.llm import kernels as K
 from glossa.llm.runtime import lean, ship, written
 
-SHARE, LONGEST, CELLS, ROUNDS = 16 << 20, 24, 400_000, 2
+SHARE, LONGEST, CELLS, ROUNDS, CLASSES = 32 << 20, 24, 100_000, 2, 8
 _TABLE = K.mix(np.arange(7001, 7257, dtype=np.uint64))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_END = b"\x00"  # stands for the end of a text in the word table; no word is equal to it (see _words)
+_END = b"e"  # the end of a text in the word table, where words have a w in front
 
 
 class Pieces:
@@ -71,12 +75,12 @@ class Pieces:
         return int(K.mix(np.array([h + len(t)], np.uint64))[0])
 
     def arcs(self, b: np.ndarray) -> list[np.ndarray]:
-        """b: words of one length as rows of bytes. For each piece length from 1, the id of the piece
-        that starts at each place, or -1."""
+        """b: words of one length as columns of bytes. For each piece length from 1, the id of the piece
+        that starts at each place (row), or -1."""
         out, h = [], np.zeros(b.shape, np.uint64)
         v = _TABLE[b]
-        for n in range(1, min(self.longest, b.shape[1]) + 1):
-            h = h[:, : b.shape[1] - n + 1] * _BASE + v[:, n - 1 :]
+        for n in range(1, min(self.longest, len(b)) + 1):
+            h = h[: len(b) - n + 1] * _BASE + v[n - 1 :]
             g = K.mix(h + np.uint64(n))
             ids = np.full(g.shape, -1, np.int32)
             at = np.nonzero(self.maybe[(g & np.uint64((1 << 20) - 1)).astype(np.int64)])
@@ -88,45 +92,47 @@ class Pieces:
 
 
 def forward(arcs: list[np.ndarray], logp: np.ndarray) -> np.ndarray:
-    """Log probability of each place being reached, summed over all segmentations before it."""
-    w, n = arcs[0].shape
-    a = np.full((w, n + 1), -np.inf)
-    a[:, 0] = 0
-    cost = np.append(logp, -np.inf)  # -1: no arc
+    """Log probability of each place being reached, summed over all segmentations before it: places x
+    words, or places x kinds x words where logp has a row for each kind."""
+    n, w = arcs[0].shape
+    a = np.full((n + 1, *logp.shape[:-1], w), -np.inf)
+    a[0] = 0
     for j in range(1, n + 1):
         for k in range(1, min(j, len(arcs)) + 1):
-            ids = arcs[k - 1][:, j - k]
+            ids = arcs[k - 1][j - k]
             live = np.flatnonzero(ids >= 0)
-            if len(live):
-                a[live, j] = np.logaddexp(a[live, j], a[live, j - k] + cost[ids[live]])
+            if len(live) == w:
+                a[j] = np.logaddexp(a[j], a[j - k] + logp[..., ids])
+            elif len(live):
+                a[j][..., live] = np.logaddexp(a[j][..., live], a[j - k][..., live] + logp[..., ids[live]])
     return a
 
 
 def expected(arcs: list[np.ndarray], logp: np.ndarray, times: np.ndarray, out: np.ndarray) -> None:
     """Add to out how often each piece is expected to be used in words that occur so many times."""
     a = forward(arcs, logp)
-    w, n = arcs[0].shape
-    b = np.full((w, n + 1), -np.inf)
-    b[:, n] = 0
-    cost = np.append(logp, -np.inf)
-    total = a[:, n]
+    n, w = arcs[0].shape
+    b = np.full((n + 1, w), -np.inf)
+    b[n] = 0
+    total = a[n]
     for i in range(n - 1, -1, -1):
         for k in range(1, min(n - i, len(arcs)) + 1):
-            ids = arcs[k - 1][:, i]
+            ids = arcs[k - 1][i]
             live = np.flatnonzero(ids >= 0)
             if not len(live):
                 continue
-            step = cost[ids[live]] + b[live, i + k]
-            b[live, i] = np.logaddexp(b[live, i], step)
-            share = np.exp(a[live, i] + step - total[live]) * times[live]
+            ids = ids[live]
+            step = logp[ids] + b[i + k][live]
+            b[i][live] = np.logaddexp(b[i][live], step)
+            share = np.exp(a[i][live] + step - total[live]) * times[live]
             if len(live) < 256:
-                np.add.at(out, ids[live], share)
+                np.add.at(out, ids, share)
             else:
-                out += np.bincount(ids[live], share, len(out))
+                out += np.bincount(ids, share, len(out))
 
 
 def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of `words` (indices) of one length, with a blank before each, as byte matrices."""
+    """Rows of `words` (indices) of one length, with a blank before each, as columns of bytes."""
     size = np.array([len(w) for w in words])
     order = np.argsort(size, kind="stable")
     edges = np.flatnonzero(np.diff(size[order])) + 1
@@ -137,7 +143,7 @@ def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         step = max(1, CELLS // n)
         for k in range(0, len(part), step):
             rows = part[k : k + step]
-            yield rows, np.frombuffer(b"".join(b" " + words[i] for i in rows), np.uint8).reshape(len(rows), n)
+            yield rows, np.frombuffer(b"".join(b" " + words[i] for i in rows), np.uint8).reshape(len(rows), n).T
 
 
 @cache
@@ -162,12 +168,20 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     A-Z lower-cased; tokens: words [^\\x20\\x09-\\x0D]+, then one end. Learned from rows whose crc32(doc_id
     as text) mod 10 isn't 0 (a null id counts as an empty text: held out). Null and empty texts are their
     end only. base_score: log10 probability by add-0.1 word unigrams; score: the lattice's. With nothing
-    to learn from, words have lattice arcs only and base_score is that of zero counts. A word that is a
-    single NUL byte counts as itself, not as an end."""
+    to learn from, words have lattice arcs only and base_score is that of zero counts."""
     spark = docs.sparkSession
     ship(spark)
-    d = lean(docs, "doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    d = lean(docs, "doc_id", "text", *(["lang"] if "lang" in docs.columns else [])).withColumn("held_out", held_out(F.col("doc_id")))
     kind = dict(d.dtypes)["doc_id"]
+    names: list = []
+    if "lang" in d.columns:
+        found = d.where("not held_out").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(CLASSES).collect()
+        names = [r.lang for r in found]
+    kinds = max(1, len(names))
+    cls = F.lit(0)
+    for k, name in enumerate(names):
+        cls = F.when(F.col("lang").eqNullSafe(F.lit(name)), k).otherwise(cls)
+    d = d.select("doc_id", "text", "held_out", F.when(F.col("held_out"), -1).otherwise(cls).cast("int").alias("cls"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
@@ -176,16 +190,17 @@ def score(docs: DataFrame, path: str) -> DataFrame:
             if n > SHARE:
                 block, n = block + 1, 0
             n += len(b.data)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), block)), b.column("doc_id"), b.column("held_out"), pa.array([z.compress(b.raw(i)) for i in range(len(b))], pa.binary())], ["block", "doc_id", "held_out", "z"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), block)), b.column("doc_id"), b.column("held_out"), b.column("cls"), pa.array([z.compress(b.raw(i)) for i in range(len(b))], pa.binary())], ["block", "doc_id", "held_out", "cls", "z"])
 
-    texts = written(d.mapInArrow(deal, f"block long, doc_id {kind}, held_out boolean, z binary"))
+    texts = written(d.mapInArrow(deal, f"block long, doc_id {kind}, held_out boolean, cls int, z binary"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
+        now: int | None = None
+        held: dict[bytes, int] = {}  # kind + 1 as a byte, then the word -> learned count
 
         def out() -> pa.RecordBatch:
-            words = [*held]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), now, np.int64)), pa.array(words, pa.binary()), pa.array([*held.values()], pa.int64())], ["block", "word", "n"])
+            keys = [k for k in held if k[0] or not any(bytes([c + 1]) + k[1:] in held for c in range(kinds))]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), now, np.int64)), pa.array([k[1:] for k in keys], pa.binary()), pa.array([k[0] - 1 for k in keys], pa.int32()), pa.array([held[k] for k in keys], pa.int64())], ["block", "word", "cls", "n"])
 
         for part in _blocks_of(batches):
             block = part.column("block")[0].as_py()
@@ -194,98 +209,109 @@ def score(docs: DataFrame, path: str) -> DataFrame:
                     yield out()
                 now, held = block, {}
             data, s, e, first, h = _words(part)
-            train = ~part.column("held_out").to_numpy(zero_copy_only=False)
-            distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
-            weight = np.repeat(train, np.diff(first)).astype(np.float64)
-            times = np.bincount(inverse, weight, len(distinct)).astype(np.int64)
-            for x, y, c in zip(s[at].tolist(), e[at].tolist(), times.tolist(), strict=True):
-                w = b"w" + data[x:y].tobytes()
-                held[w] = held.get(w, 0) + c
-            held[_END] = held.get(_END, 0) + int(train.sum())
+            cls = part.column("cls").to_numpy()
+            of = np.repeat(cls, np.diff(first))
+            distinct, at, times = np.unique(K.mix(h + (of + 2).astype(np.uint64)), return_index=True, return_counts=True)
+            for x, y, c, n in zip(s[at].tolist(), e[at].tolist(), of[at].tolist(), times.tolist(), strict=True):
+                w = bytes([c + 1]) + b"w" + data[x:y].tobytes()
+                held[w] = held.get(w, 0) + (n if c >= 0 else 0)
+            for c in np.unique(cls).tolist():
+                w = bytes([c + 1]) + _END
+                held[w] = held.get(w, 0) + (int((cls == c).sum()) if c >= 0 else 0)
         if held:
             yield out()
 
-    seen = written(texts.select("block", "held_out", "z").mapInArrow(count, "block long, word binary, n long"))
-    known = written(seen.groupBy("word").agg(F.sum("n").alias("c")))
-    row = known.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once"), F.sum((F.col("c") == 2).cast("long")).alias("twice")).first()
-    total, distinct_words, once, twice = (x or 0 for x in row)
-    cut = once / (once + 2 * twice) if once and twice else 0.5  # the discount
-    scale = cut * distinct_words / total if total else 1.0  # what it leaves to the pieces
-
-    learned: dict[int, float] = {}
-
-    def weights(p: Pieces, learned: dict[int, float]) -> np.ndarray:
-        if not learned:
-            return p.prior
-        n = np.exp(p.prior) * 100.0
-        for k, v in learned.items():
-            n[k] += v
-        return np.log(n / n.sum())
-
-    used = known.where(F.col("c") > 0).where(F.col("word") != F.lit(_END)).select("word")
+    seen = written(texts.select("block", "cls", "z").mapInArrow(count, "block long, word binary, cls int, n long"))
+    cs = [f"c{k}" for k in range(kinds)]
+    known = written(seen.groupBy("word").agg(*[F.sum(F.when(F.col("cls") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(cs)]))
+    every = sum((F.col(c) for c in cs), F.lit(0))
+    stats = [F.sum(every).alias("n"), F.sum((every > 0).cast("long")).alias("v")]
+    for c in cs:
+        stats += [F.sum(c), F.sum((F.col(c) > 0).cast("long")), F.sum((F.col(c) == 1).cast("long")), F.sum((F.col(c) == 2).cast("long"))]
+    row = [x or 0 for x in known.agg(*stats).first()]
+    total, distinct_words = row[:2]
+    size, vocabulary, once, twice = (np.array(row[2 + i :: 4], np.float64) for i in range(4))
+    cut = np.where((once > 0) & (twice > 0), once / np.maximum(once + 2 * twice, 1), 0.5)  # the discount
+    with np.errstate(divide="ignore"):
+        left = np.where(size > 0, np.log(cut * vocabulary / np.maximum(size, 1)), 0.0)  # what it leaves to the pieces
+        ends = known.where(F.col("word") == F.lit(_END)).first()
+        share = np.array([ends[c] for c in cs], np.float64) if ends else np.zeros(kinds)
+        share = np.log10(share / share.sum()) if share.sum() else np.zeros(1)
+
+    def weights(p: Pieces, learned: list[dict[int, float]]) -> np.ndarray:
+        out = []
+        for found in learned:
+            n = np.exp(p.prior) * 100.0
+            n[[*found]] += [*found.values()]
+            out.append(np.log(n / n.sum()) if found else p.prior)
+        return np.array(out)
+
+    learned: list[dict[int, float]] = [{} for _ in range(kinds)]
+    used = known.where(every > 0).where(F.col("word") != F.lit(_END))
     for _ in range(ROUNDS):
 
-        def expect(batches: Iterator[pa.RecordBatch], learned: dict[int, float] = learned) -> Iterator[pa.RecordBatch]:
+        def expect(batches: Iterator[pa.RecordBatch], learned: list[dict[int, float]] = learned) -> Iterator[pa.RecordBatch]:
             p = pieces(path)
-            logp, out = weights(p, learned), np.zeros(len(p.text))
+            logp, out = weights(p, learned), np.zeros((kinds, len(p.text)))
             for batch in batches:
                 words = [w[1:] for w in batch.column(0).to_pylist()]
-                for rows, b in by_length(words):
-                    expected(p.arcs(b), logp, np.ones(len(rows)), out)
-            at = np.flatnonzero(out)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(out[at])], ["piece", "n"])
+                for k in range(kinds):
+                    mine = np.flatnonzero(batch.column(k + 1).to_numpy() > 0)
+                    for rows, b in by_length([words[i] for i in mine]) if len(mine) else ():
+                        expected(p.arcs(b), logp[k], np.ones(len(rows)), out[k])
+            k, at = np.nonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(out[k, at])], ["cls", "piece", "n"])
 
-        got = used.mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # a row for each piece
-        learned = {r.piece: r.n for r in got}
+        got = used.select("word", *cs).mapInArrow(expect, "cls int, piece int, n double").groupBy("cls", "piece").agg(F.sum("n").alias("n")).collect()  # a row for each piece and kind
+        learned = [{} for _ in range(kinds)]
+        for r in got:
+            learned[r.cls][r.piece] = r.n
+
+    lps = [f"lp{k}" for k in range(kinds)]
 
     def lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         logp = weights(p, learned)
         for batch in batches:
-            words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            whole = np.where(c > 0, np.log((np.maximum(c, 1) - cut) / max(total, 1)), -np.inf)
-            lp = np.full(len(words), -np.inf)
+            words = batch.column(0).to_pylist()
+            c = np.array([batch.column(k + 1).to_numpy() for k in range(kinds)], np.float64)
+            with np.errstate(divide="ignore"):
+                whole = np.where(c > 0, np.log((np.maximum(c, 1) - cut[:, None]) / np.maximum(size, 1)[:, None]), -np.inf)
+            lp = np.full(c.shape, np.log(1e-3)) + left[:, None]  # stays so for an end that was never learned
             at = np.array([i for i, w in enumerate(words) if w != _END], np.int64)
-            for rows, b in by_length([words[i][1:] for i in at]):
-                lp[at[rows]] = forward(p.arcs(b), logp)[:, -1] + np.log(scale)
-            ends = np.array([w == _END for w in words], bool)
-            lp[ends] = np.log(scale) + np.log(1e-3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.logaddexp(lp, whole) / np.log(10))], ["word", "c", "lp"])
-
-    scored = known.mapInArrow(lattice, "word binary, c long, lp double")
-    wanted = seen.select("block", "word").join(scored, "word").select("block", "word", "c", "lp")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column(1).to_pylist()
-            ends = np.array([w == _END for w in words], bool)
+            for rows, b in by_length([words[i][1:] for i in at]) if len(at) else ():
+                lp[:, at[rows]] = forward(p.arcs(b), logp)[-1] + left[:, None]
+            lp = np.logaddexp(lp, whole) / np.log(10)
             raw = [w[1:] for w in words]
-            size = np.array([len(w) for w in raw], np.int64)
-            h = np.zeros(len(raw), np.uint64)
-            full = np.flatnonzero(size > 0)
-            stop = np.cumsum(size)
-            h[full] = K.span_hashes(np.frombuffer(b"".join(raw), np.uint8), (stop - size)[full], stop[full])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(K.signed(h)), pa.array(ends), batch.column(2), batch.column(3)], ["block", "h", "is_end", "c", "lp"])
-
-    wanted = wanted.mapInArrow(hashed, "block long, h long, is_end boolean, c long, lp double")
+            n = np.array([len(w) for w in raw], np.int64)
+            stop = np.cumsum(n)
+            h = np.zeros(len(raw), np.uint64)  # 0: the end
+            full = np.flatnonzero(n > 0)
+            h[full] = K.span_hashes(np.frombuffer(b"".join(raw), np.uint8), (stop - n)[full], stop[full])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(K.signed(h)), pa.array(c.sum(0).astype(np.int64)), *(pa.array(x.astype(np.float32)) for x in lp)], ["word", "h", "c", *lps])
+
+    scored = known.mapInArrow(lattice, "word binary, h long, c long, " + ", ".join(f"{x} float" for x in lps))
+    wanted = seen.select("block", "word").join(scored, "word").select("block", "h", "c", *lps)
     base_total = np.log10(total + 0.1 * (distinct_words + 1))
 
     def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        h = right.column("h").to_numpy().view(np.uint64)
-        c, lp, end = right.column("c").to_numpy(), right.column("lp").to_numpy(), right.column("is_end").to_numpy()
-        end_c, end_lp = (int(c[end][0]), float(lp[end][0])) if end.any() else (0, float(np.log10(scale) - 3))
-        order = np.argsort(h[~end])
-        h, c, lp = h[~end][order], c[~end][order], lp[~end][order]
+        h, at = np.unique(right.column("h").to_numpy().view(np.uint64), return_index=True)
+        c = right.column("c").to_numpy()[at]
+        lp = [right.column(x).to_numpy()[at].astype(np.float64) for x in lps]
+        log_c, is_known = np.log10(c + 0.1), (c > 0).astype(np.float64)
+        end = int(np.searchsorted(h, 0))
         outs = []
         for part in _blocks_of(left.to_batches()):
             *_, first, wh = _words(part)
             i = np.searchsorted(h, wh) if len(wh) else np.zeros(0, np.int64)
-            n = np.diff(first)
-            doc = np.repeat(np.arange(len(part)), n)
-            sums = [np.bincount(doc, v, len(part)) for v in (np.log10(c[i] + 0.1), lp[i], (c[i] > 0).astype(np.float64))]
-            base = sums[0] + np.log10(end_c + 0.1) - (n + 1) * base_total
-            m = len(part)
-            outs.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(n + 1), pa.array(sums[2].astype(np.int64) + int(end_c > 0)), pa.array(np.full(m, total, np.int64)), pa.array(base), pa.array(sums[1] + end_lp)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+            n, m = np.diff(first), len(part)
+            doc = np.repeat(np.arange(m), n)
+            base = np.bincount(doc, log_c[i], m) + log_c[end] - (n + 1) * base_total
+            z = np.array([np.bincount(doc, x[i], m) + x[end] for x in lp]) + share[:, None]
+            top = z.max(0)
+            value = top + np.log10((10 ** (z - top)).sum(0))
+            count = np.bincount(doc, is_known[i], m).astype(np.int64) + int(is_known[end])
+            outs.append(pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(n + 1), pa.array(count), pa.array(np.full(m, total, np.int64)), pa.array(base), pa.array(value)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         return pa.Table.from_batches(outs)
 
     return texts.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(meet, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

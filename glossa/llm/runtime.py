@@ -34,6 +34,16 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that written() has left in the shared folder: for the end of a job, when no plan
+    will read them again."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/glossa-*")
+    fs = p.getFileSystem(conf)
+    for found in fs.globStatus(p) or []:
+        fs.delete(found.getPath(), True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by written() that no later plan reads."""
     path = getattr(df, "_glossa_path", None)
@@ -44,8 +54,11 @@ def forget(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors where PYTHONPATH doesn't already do so."""
+    """Make this package importable on executors where PYTHONPATH doesn't already do so, and switch off an
+    unsafe setting: Spark 4.1 takes a union of children with equal hash partitioning as partitioned like
+    them, also when adaptive execution has coalesced only one, and aggregates above count rows twice."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     if str(_ROOT) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_glossa_shipped", False):
         return
     to = Path(tempfile.mkdtemp(prefix="glossa-ship-")) / "glossa_pkg.zip"
