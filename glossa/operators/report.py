@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import phonetic, text
@@ -27,21 +27,33 @@ def morph_savings(docs: DataFrame) -> DataFrame:
 
 def delta_stats(docs: DataFrame) -> DataFrame:
     """(doc_id, mean_cls, mean_pos, mean_role, mean_flat, mean_2d, ratio): mean absolute differences of
-    neighbouring characters' coordinates over the marked words of the whole text, the first left out."""
-    w = docs.select("doc_id", F.posexplode(text.words(F.coalesce("text", F.lit("")))).alias("w", "word"), F.size(text.words(F.coalesce("text", F.lit("")))).alias("n"))
-    word = F.lower("word")
-    marked = F.concat(F.lit("^"), word, F.lit("$"), F.when(F.col("w") < F.col("n") - 1, "_").otherwise(""))
-    k, p = phonetic.class_string(marked), phonetic.place_string(marked)
-    flat = F.regexp_replace(F.regexp_replace(marked, r"[^a-z^$_.]", "\u0001"), "", "")
-    c = w.select("doc_id", "w", F.length("word").alias("len"), F.posexplode(F.arrays_zip(phonetic.characters(k).alias("k"), phonetic.characters(p).alias("p"), phonetic.characters(flat).alias("f"))).alias("i", "x"))
-    f = F.col("x.f")
-    number = F.when(f.rlike("[a-z]"), F.ascii(f) - 97).when(f == "^", 50).when(f == "$", 51).when(f == "_", 52).when(f == ".", 53).otherwise(54)
-    inner = (F.col("i") > 0) & (F.col("i") <= F.col("len"))
-    c = c.select("doc_id", "w", "i", F.col("x.k").cast("int").alias("k"), (F.ascii(F.col("x.p")) - 48).alias("p"), F.when(inner, phonetic.role(F.col("i") - 1, F.col("len"))).otherwise(3).alias("r"), number.alias("f"))
-    o = Window.partitionBy("doc_id").orderBy("w", "i")
-    d = c.select("doc_id", *[(F.col(x) - F.lag(x).over(o)).alias(x) for x in "kprf"]).where("k is not null")
-    g = d.groupBy("doc_id").agg(*[F.avg(F.abs(F.col(x))).alias(x) for x in "kprf"], F.avg(F.sqrt(F.col("k") * F.col("k") + F.col("p") * F.col("p"))).alias("d"))
-    return g.select("doc_id", F.round("k", 6).alias("mean_cls"), F.round("p", 6).alias("mean_pos"), F.round("r", 6).alias("mean_role"), F.round("f", 6).alias("mean_flat"), F.round("d", 6).alias("mean_2d"), F.round(F.col("f") / F.col("d"), 6).alias("ratio"))
+    neighbouring characters' coordinates over the marked words of the whole text, the first left out.
+
+    Neighbours are pairs of characters inside a word and its marks, so they are counted by document first
+    and looked up once a distinct pair; no order over the document is needed. Roles change by 6 in all in
+    a word of two characters or more, and not at all in others."""
+    ws = text.words(F.coalesce("text", F.lit("")))
+    # counted below the explosion: beside it, the text would be split again for each word
+    split = docs.select("doc_id", ws.alias("ws")).select("doc_id", "ws", F.size("ws").alias("n"))
+    w = split.select("doc_id", "n", F.posexplode("ws").alias("w", "word"))
+    body = F.concat(F.when(F.col("w") > 0, "_").otherwise(""), F.lit("^"), F.lower("word"), F.lit("$"), F.when(F.col("w") < F.col("n") - 1, "_").otherwise(""))
+    roles = w.groupBy("doc_id").agg(F.sum(F.when(F.length("word") > 1, 6).otherwise(0)).alias("roles"))
+    pairs = w.select("doc_id", F.explode(F.regexp_extract_all(body, F.lit("(?s)(?=(..))"), F.lit(1))).alias("pc")).groupBy("doc_id", "pc").agg(F.count("*").alias("n"))
+
+    def flat(c: Column) -> Column:
+        return F.when(c.rlike("^[a-z]$"), F.ascii(c) - 97).when(c == "^", 50).when(c == "$", 51).when(c == "_", 52).when(c == ".", 53).otherwise(54)
+
+    a, b = F.left("pc", F.lit(1)), F.right("pc", F.lit(1))
+    k = F.ascii(phonetic.class_string(b)) - F.ascii(phonetic.class_string(a))
+    p = F.ascii(phonetic.place_string(b)) - F.ascii(phonetic.place_string(a))
+    d = pairs.select("doc_id", "n", k.alias("k"), p.alias("p"), F.abs(flat(b) - flat(a)).alias("f"))
+    n = F.sum("n")
+    g = d.groupBy("doc_id").agg(
+        n.alias("n"), (F.sum(F.col("n") * F.abs("k")) / n).alias("k"), (F.sum(F.col("n") * F.abs("p")) / n).alias("p"), (F.sum(F.col("n") * F.col("f")) / n).alias("f"),
+        (F.sum(F.col("n") * F.sqrt(F.col("k") * F.col("k") + F.col("p") * F.col("p"))) / n).alias("d"),
+    ).join(roles, "doc_id")
+    r = F.col("roles") / F.col("n")
+    return g.select("doc_id", F.round("k", 6).alias("mean_cls"), F.round("p", 6).alias("mean_pos"), F.round(r, 6).alias("mean_role"), F.round("f", 6).alias("mean_flat"), F.round("d", 6).alias("mean_2d"), F.round(F.col("f") / F.col("d"), 6).alias("ratio"))
 
 
 def transition_graph(docs: DataFrame) -> DataFrame:
