@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Characters of each phonetic class in the order of their places.
 PHONETIC = {0: "aeiou", 1: "bdgkpt", 2: "fhsvxz", 3: "mn", 4: "lr", 5: "cjqwy"}
@@ -96,3 +97,14 @@ def alphabet(spark: SparkSession) -> DataFrame:
     """(symbol, id) of the default registry: all alphabets one after the other, repeats kept."""
     names = [*SENTENCE_TYPES, *PHRASES, *RELATIONS, *SPECIALS, *POS_TAGS, *DEPENDENCIES, *MORPH_CODES]
     return spark.createDataFrame([(s, i) for i, s in enumerate(names)], "symbol string, id int")
+
+
+def symbol_id(table: DataFrame, symbols: DataFrame, name: str = "symbol") -> DataFrame:
+    """symbols with the id of each in an alphabet (the first, where it stands twice), -1 for unknown ones."""
+    ids = table.groupBy(F.col("symbol").alias(name)).agg(F.min("id").alias("id"))
+    return symbols.join(F.broadcast(ids), name, "left").withColumn("id", F.coalesce("id", F.lit(-1)))
+
+
+def symbol_name(table: DataFrame, ids: DataFrame, name: str = "id") -> DataFrame:
+    """ids with the symbol of each, UNKNOWN for unknown ones."""
+    return ids.join(F.broadcast(table.withColumnRenamed("id", name)), name, "left").withColumn("symbol", F.coalesce("symbol", F.lit("UNKNOWN")))

@@ -159,3 +159,11 @@ def test_chunks(spark):
     for r in relations.chunks(docs, 5).orderBy("doc_id", "chunk_id").collect():
         got.setdefault(r.doc_id, []).append(r.chunk)
     assert got == {1: ["ab", "cd\n", "efgh"], 2: ["abcde", "fgh"], 3: [""]}
+
+
+def test_alphabet(spark):
+    a = dims.alphabet(spark)
+    x = spark.createDataFrame([("NOUN",), ("?",)], "symbol string")
+    got = {r.symbol: r.id for r in dims.symbol_id(a, x).collect()}
+    assert got["NOUN"] == a.where("symbol = 'NOUN'").first().id and got["?"] == -1
+    assert {r.symbol for r in dims.symbol_name(a, spark.createDataFrame([(0,), (999,)], "id int")).collect()} == {"DECLARATIVE", "UNKNOWN"}
