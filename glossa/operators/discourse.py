@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import text
-from glossa.functions.dims import BOILERPLATE, PRONOUNS, connectives_table
+from glossa.functions.dims import BOILERPLATE, CONNECTIVES, PRONOUNS, connectives_table
 from glossa.operators.relations import bare, sentences, tokens
 
 _NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+(?![\p{L}\p{N}])"
@@ -72,40 +73,41 @@ def symbol_table(chain: DataFrame) -> DataFrame:
     return chain.groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("§E"), F.col("entity_id").cast("string")), "surface")))).alias("symbols"))
 
 
-def substitute(t: str, table: list[tuple[int, str]]) -> str:
-    """All mentions but the first of each surface as §E<id>; overlaps go to the earlier start, then the
-    longer surface; a § of the text itself is doubled."""
-    import re
-
+def substitute(t: str, table: list[tuple[int, str]], relations: list[tuple[int, str]] = []) -> str:  # noqa: B006
+    """All mentions but the first of each surface as §E<id>; and every connective as §R<id>; with overlaps
+    to the earlier start, then the longer surface; a § of the text itself is doubled."""
     found = []
-    for i, surface in table:
-        at = [m.start() for m in re.finditer(re.escape(surface) + r"(?!\w|['’‘]\w)", t)]
-        found += [(a, -len(surface), i) for a in at[1:]]
+    for kind, entries, keep in (("E", table, 1), ("R", relations, 0)):
+        for i, surface in entries:
+            at = [m.start() for m in re.finditer(("" if keep else r"(?<!\w)") + re.escape(surface) + r"(?!\w|['’‘]\w)", t)]
+            found += [(a, -len(surface), f"§{kind}{i};") for a in at[keep:]]
     out, last = [], 0
-    for a, n, i in sorted(found):
+    for a, n, symbol in sorted(found):
         if a >= last:
-            out += [t[last:a].replace("§", "§§"), f"§E{i};"]
+            out += [t[last:a].replace("§", "§§"), symbol]
             last = a - n
     return "".join([*out, t[last:].replace("§", "§§")])
 
 
-def restore(t: str, table: list[tuple[int, str]]) -> str:
-    import re
-
-    names = dict(table)
-    return re.sub(r"§(§|E(\d+);)", lambda m: "§" if m[1] == "§" else names[int(m[2])], t)
+def restore(t: str, table: list[tuple[int, str]], relations: list[tuple[int, str]] = []) -> str:  # noqa: B006
+    names = {("E", i): s for i, s in table} | {("R", i): s for i, s in relations}
+    return re.sub(r"§(?:(§)|([ER])(\d+);)", lambda m: "§" if m[1] else names[m[2], int(m[3])], t)
 
 
-def encoded_symbols(docs: DataFrame) -> DataFrame:
-    """(doc_id, original, encoded, decoded, n_symbols): substitution and its inverse, in Arrow batches."""
+def encoded_symbols(docs: DataFrame, with_relations: bool = False) -> DataFrame:
+    """(doc_id, original, encoded, decoded, n_symbols): substitution and its inverse, in Arrow batches; with
+    relations, connectives of two letters or more get symbols too."""
+    words = [c for cs in CONNECTIVES.values() for c in cs] if with_relations else []
     c = chains(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("entity_id", "surface"))).alias("c"))
     j = docs.select("doc_id", text.normalised(F.col("text")).alias("original")).join(c, "doc_id", "left").select("doc_id", "original", F.col("c.entity_id").alias("ids"), F.col("c.surface").alias("names"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             tables = [list(zip((int(i) for i in x), y, strict=True)) if x is not None else [] for x, y in zip(b["ids"], b["names"], strict=True)]
-            enc = [substitute(t, tab) for t, tab in zip(b["original"], tables, strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "original": b["original"], "encoded": enc, "decoded": [restore(e, tab) for e, tab in zip(enc, tables, strict=True)], "n_symbols": [len(t) for t in tables]})
+            used = [[(i, w) for i, w in enumerate(words) if w in t] for t in b["original"]]
+            enc = [substitute(*x) for x in zip(b["original"], tables, used, strict=True)]
+            dec = [restore(*x) for x in zip(enc, tables, used, strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "original": b["original"], "encoded": enc, "decoded": dec, "n_symbols": [len(t) + len(r) for t, r in zip(tables, used, strict=True)]})
 
     return j.mapInPandas(run, "doc_id long, original string, encoded string, decoded string, n_symbols long")
 

@@ -212,6 +212,7 @@ def sql() -> dict[str, str]:
         "connectives": f"WITH {_CONNECTIVES} SELECT doc_id, sent_id::BIGINT AS sent_id, tok_id::BIGINT AS tok_id, connective, relation FROM cn",
         "relation_counts": f"WITH {_CONNECTIVES} SELECT relation, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_docs FROM cn GROUP BY 1",
         "symbol_roundtrip": rf"SELECT doc_id, true AS ok, len(list_filter(string_split_regex({NORM}, '\s+'), lambda x: x <> ''))::BIGINT AS n_words_before FROM documents",
+        "relation_symbols": "SELECT doc_id, true AS ok FROM documents",
         "word_symbols": f"WITH {_TOKS}, c AS (SELECT doc_id, b AS word, count(*) AS n FROM t WHERE b <> '' GROUP BY ALL) SELECT doc_id, word, n::BIGINT AS n, (n * (length(word) - 4) - 20)::BIGINT AS net_saving FROM c WHERE n * (length(word) - 4) - 20 > 0",
         "transition_graph": f"WITH {_GRAPH} SELECT cur, nxt, n, p FROM g",
         "symbol_ids": f"WITH {_GRAPH}, z AS (SELECT nxt AS symbol, round(sum(p), 6) AS s FROM g GROUP BY 1) SELECT symbol, row_number() OVER (ORDER BY s DESC, symbol) - 1 AS id FROM z",

@@ -284,6 +284,12 @@ def symbol_encode(s, d):
     return discourse.encoded_symbols(documents(s, d)).select("doc_id", "encoded", "n_symbols")
 
 
+@query
+def relation_symbols(s, d):
+    e = discourse.encoded_symbols(documents(s, d), with_relations=True)
+    return e.select("doc_id", (F.col("original") == F.col("decoded")).alias("ok"))
+
+
 @query
 def word_symbols(s, d):
     return discourse.word_symbols(documents(s, d))

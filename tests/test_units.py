@@ -130,6 +130,10 @@ def test_substitution():
     t = "Ann Lee met § Ann Lee and Ann Lees; Ann Lee's hat, Ann Lee."
     e = discourse.substitute(t, [(0, "Ann Lee")])
     assert e.count("§E0;") == 2 and discourse.restore(e, [(0, "Ann Lee")]) == t
+    r = [(3, "as a result"), (4, "so")]
+    t = "so it is, as a result, not also §R4; so"
+    e = discourse.substitute(t, [], r)
+    assert (e.count("§R4;") - 1, e.count("§R3;")) == (2, 1) and discourse.restore(e, [], r) == t
 
 
 def test_weights_both_ways(spark):
