@@ -17,11 +17,11 @@ from collections.abc import Callable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossa.llm import kernels, packing, pii, simhash, substring, toxicity
-from glossa.llm.runtime import ship, written
+from glossa.llm.runtime import row_key, ship, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -41,13 +41,14 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: where component_id is the own doc_id, and of rows that share a doc_id
-    the one with the smallest text. Rows without a doc_id stay where their group has no id at all."""
-    groups = simhash.near_duplicates(docs).select("doc_id", "component_id")
-    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    return kept.withColumn("r", F.row_number().over(first)).where("r = 1").select(*COLUMNS)
+    """One document of each group: the one with the smallest doc_id, and of those the one with the smallest
+    hash of (doc_id, text); of equal ones one. A document without a doc_id stays where no document of its
+    group has one."""
+    docs = docs.select(*COLUMNS)
+    row = row_key("doc_id", "text").alias("row")
+    # equal rows are put together before the shuffle, so that many copies of one don't make a hot key
+    own = docs.groupBy(row).agg(F.min(F.struct("text", "lang", "source", "n_chars", "doc_id")).alias("d"))
+    return own.join(simhash.heads(docs), "row", "left_semi").select(*(f"d.{c}" for c in COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from glossa.llm import kernels as K
 from glossa.llm.buckets import compare, forest, pairs_by_offset
 from glossa.llm.graph import components
-from glossa.llm.runtime import lean, ship, written
+from glossa.llm.runtime import lean, row_key, ship, written
 
 NEAR, SHINGLE = 3, 3
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, the Golay code's generator
@@ -111,17 +111,19 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs -> (doc_id, fp long): the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """docs -> (doc_id, any more columns, fp long): the fingerprint's bits as a signed long."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.blocks(batches):
             fp = np.array([fingerprint(b.raw(i)) for i in range(len(b))], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(K.signed(fp))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(K.signed(fp))], [*own, "fp"])
 
-    d = lean(docs, "doc_id", "text")
-    return d.mapInArrow(run, f"doc_id {dict(d.dtypes)['doc_id']}, fp long")
+    own = ["doc_id", *more]
+    d = lean(docs, *own, "text")
+    kinds = dict(d.dtypes)
+    return d.mapInArrow(run, "".join(f"{c} {kinds[c]}, " for c in own) + "fp long")
 
 
 def links(fps: DataFrame, near: int = NEAR) -> DataFrame:
@@ -173,5 +175,18 @@ def near_duplicates(docs: DataFrame, near: int = NEAR) -> DataFrame:
     return rows.join(root.select("fp", "root").join(best, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def heads(docs: DataFrame, near: int = NEAR) -> DataFrame:
+    """docs (doc_id, text and any others) -> (row long), one for each group of near_duplicates: the
+    row_key of its row with the smallest doc_id, and of those the smallest row_key. A row without a
+    doc_id stands for its group only where no row of the group has one. Groups are told apart by their
+    root fingerprint, so ids that repeat in several groups, or are missing, don't join them."""
+    rows = fingerprints(docs.select("doc_id", "text", row_key("doc_id", "text").alias("row")), "row")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = written(rows.groupBy("fp").agg(F.min(first).alias("low")))
+    comp = components(links(nodes, near))
+    root = nodes.join(comp, nodes.fp == comp.node, "left").select(F.coalesce("root", "fp").alias("root"), "low")
+    return root.groupBy("root").agg(F.min("low").alias("low")).select("low.row")
+
+
 def digest(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -52,3 +52,19 @@ def test_stages(spark, start):
 def test_run(spark, start):
     got = C.run(spark, start).agg(F.count("*").alias("n"), F.max("sequence_id").alias("m")).first()
     assert got.n > 50 and got.m >= 0
+
+
+def test_one_of_each_group(spark):
+    """Missing and repeated ids join no groups, and each group keeps one row."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (None, c), (4, c), (5, d), (7, a + " z"), (7, e), (3, e), (7, d.upper()), (8, "x"), (8, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en" if k % 2 else None, "s", len(t)) for k, (i, t) in enumerate(rows)], schema)
+    docs = docs.union(spark.createDataFrame([(None, f"only {k} " + a.replace("a", chr(65 + k) * 2), None, None, None) for k in range(5)], schema))
+    fp = {r.text: simhash.fingerprint(r.text.encode()) for r in docs.collect()}
+    far = [fp[t] for t in fp if t not in (a + " z", d.upper())]
+    assert all((x ^ y).bit_count() > 3 for i, x in enumerate(far) for y in far[:i]) and fp[d] == fp[d.upper()]
+    near = (fp[a] ^ fp[a + " z"]).bit_count() <= 3
+    got = sorted((r.doc_id or 0, r.text) for r in C.near_duplicates(spark, docs, "").collect())
+    want = [(0, b), (4, c), (5, d), (7, a + " z"), (3, e), (8, "x"), *([] if near else [(0, a)])]
+    assert got == sorted(want + [(0, t) for t in fp if t.startswith("only")])
