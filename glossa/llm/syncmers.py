@@ -1,8 +1,8 @@
 """Document fingerprints from closed syncmers.
 
 Of all k-byte substrings, those whose smallest s-byte substring lies at an edge are chosen: a choice
-that needs no context, so equal passages give equal anchors wherever they stand. The fingerprint keeps
-the anchors with the smallest hashes, each with its place, and likeness counts the anchors that two
+that needs no context, so equal passages give equal anchors wherever they stand. The fingerprint holds
+all anchors of the text, repeats included, each with its place, and likeness counts the anchors that two
 fingerprints share at one common offset (the best band of diagonals).
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,14 +21,15 @@ from pyspark.sql import functions as F
 from glossa.llm import kernels as K
 from glossa.llm.runtime import lean, partitions, ship
 
-LONG, SHORT, KEEP, BAND = 20, 8, 48, 64
+LONG, SHORT, BAND = 20, 8, 64
 _TABLE = K.mix(np.arange(901, 1157, dtype=np.uint64))
 _LOW = -(1 << 63)
 
 
-def anchors(data: np.ndarray, offs: np.ndarray, k: int = LONG, s: int = SHORT, keep: int = KEEP) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text its fingerprint: hashes (uint32, ascending, distinct) and places (bytes). Texts of
-    fewer than k bytes have one anchor, the whole text; an empty text has none."""
+def anchors(data: np.ndarray, offs: np.ndarray, k: int = LONG, s: int = SHORT) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its fingerprint: hashes (uint32, ascending) and places (bytes, ascending among
+    equal hashes) of all its anchors. A text without a closed syncmer (each of fewer than k bytes is one)
+    has one anchor, the whole text; an empty text has none."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
     size = np.diff(offs)
     n = len(data)
@@ -57,12 +57,9 @@ def anchors(data: np.ndarray, offs: np.ndarray, k: int = LONG, s: int = SHORT, k
         h = K.mix(h) >> np.uint64(32)
     order = np.lexsort((at, h, doc))
     doc, at, h = doc[order], at[order], h[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    doc, at, h = doc[new], at[new], h[new]
     first = np.searchsorted(doc, np.arange(len(size) + 1))
     for i in range(len(size)):
-        a, b = first[i], min(first[i + 1], first[i] + keep)
+        a, b = first[i], first[i + 1]
         if a < b:
             out.append((h[a:b].astype(np.uint32), at[a:b] - offs[i]))
         elif size[i]:
@@ -74,26 +71,52 @@ def anchors(data: np.ndarray, offs: np.ndarray, k: int = LONG, s: int = SHORT, k
 
 
 def as_string(f: tuple[np.ndarray, np.ndarray]) -> str:
-    """7 bytes an anchor, in base 64: its hash and its place (places past 2^24 count as that)."""
-    raw = np.zeros((len(f[0]), 7), np.uint8)
-    raw[:, :4] = f[0].astype(">u4").view(np.uint8).reshape(-1, 4)
-    raw[:, 4:] = np.minimum(f[1], (1 << 24) - 1).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]
+    """The anchors by place, in base 64: of each the hash (4 bytes, highest first) and the distance from the
+    place before (7 bits a byte, lowest first, the top bit set where more follow)."""
+    order = np.argsort(f[1], kind="stable")
+    h, step = f[0][order].astype(">u4"), np.diff(f[1][order], prepend=0)
+    more = 1 + sum((step >> 7 * i > 0).astype(np.int64) for i in range(1, 9))
+    start = np.cumsum(more + 4) - more - 4
+    raw = np.zeros(int((more + 4).sum()), np.uint8)
+    raw[start[:, None] + np.arange(4)] = h.view(np.uint8).reshape(-1, 4)
+    for i in range(int(more.max(initial=0))):
+        has = more > i
+        raw[start[has] + 4 + i] = (step[has] >> 7 * i & 127) | np.where(more[has] > i + 1, 128, 0)
     return base64.urlsafe_b64encode(raw.tobytes()).decode()
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], keep: int = KEEP, band: int = BAND) -> float:
-    """Share of the two texts that stands in both at one offset (Dice), 0 to 1; 1 for two empty texts."""
+def _keys(h: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return h.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
+
+
+def _rank(h: np.ndarray) -> np.ndarray:
+    """How many equal ones stand before each of ascending h."""
+    return np.arange(len(h)) - np.searchsorted(h, h, "left")
+
+
+def _met(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], low: int, high: int) -> int:
+    """How many anchors of a have an equal one in b from low to high bytes before their own place."""
+    top = (1 << 32) - 1
+    own = _keys(*b)
+    first = np.searchsorted(own, _keys(a[0], np.clip(a[1] - high, 0, top)), "left")
+    last = np.searchsorted(own, _keys(a[0], np.clip(a[1] - low, 0, top)), "right")
+    return int(((last > first) & (a[1] >= low)).sum())
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], band: int = BAND) -> float:
+    """Share of the two texts' anchors that stand in both at one offset (Dice), 0 to 1; 1 for two empty
+    texts. Equal anchors vote for the band, the first of a text with the first of the other and so on, which
+    keeps the work linear however often one repeats; all anchors within it are counted."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    at = dict(zip(b[0].tolist(), b[1].tolist(), strict=True))
-    # a sketch that isn't full holds every anchor; a full one knows nothing past its largest hash
-    top = min([int(x[0][-1]) for x in (a, b) if len(x[0]) >= keep], default=1 << 32)
-    na, nb = int((a[0] <= top).sum()), int((b[0] <= top).sum())
-    votes = Counter((x - at[h]) // band for h, x in zip(a[0].tolist(), a[1].tolist(), strict=True) if h <= top and h in at)
-    if not votes or not na + nb:
+    _, i, j = np.intersect1d(_keys(a[0], _rank(a[0])), _keys(b[0], _rank(b[0])), assume_unique=True, return_indices=True)
+    if not len(i):
         return 0.0
-    best = max(votes[d] + votes.get(d + 1, 0) for d in votes)
-    return 2 * best / (na + nb)
+    d, votes = np.unique((a[1][i] - b[1][j]) // band, return_counts=True)
+    votes = votes + np.where(np.append(d[1:] == d[:-1] + 1, False), np.append(votes[1:], 0), 0)
+    low = int(d[np.argmax(votes)]) * band
+    high = low + 2 * band - 1
+    return (_met(a, b, low, high) + _met(b, a, -high, -low)) / (len(a[0]) + len(b[0]))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

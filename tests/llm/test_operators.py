@@ -314,6 +314,41 @@ def test_syncmers_do_not_depend_on_context():
     assert 0.3 < syncmers.likeness(f[0], f[2]) < 0.7 and syncmers.likeness(f[0], f[3]) > 0.95
 
 
+def test_syncmers_keep_all_of_a_text(spark):
+    rng = np.random.default_rng(5)
+    a = bytes(rng.integers(97, 123, 60_000).astype(np.uint8))
+    texts = [a, a[:500] * 3, b"an" * 3000, b"", b"short", a[:30_000] + bytes(rng.integers(97, 123, 30_000).astype(np.uint8)), a[40:]]
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    f = syncmers.anchors(np.frombuffer(b"".join(texts), np.uint8), offs)
+    for t, (h, at) in zip(texts, f, strict=True):
+        # one text alone gives every place; its own parts of 8 bytes tell which substrings are closed
+        v = syncmers._TABLE[np.frombuffer(t, np.uint8)]
+        small = np.array([0] * max(0, len(t) - 7), np.uint64)
+        for i in range(8 if len(small) else 0):
+            small = small * np.uint64(0x9E3779B97F4A7C15) + v[i : len(t) - 7 + i]
+        small = (kernels.mix(small) >> np.uint64(32)).tolist()
+        want = [i for i in range(len(t) - 19) if min(small[i : i + 13]) in (small[i], small[i + 12])]
+        assert sorted(at.tolist()) == (want or [0] * bool(t))
+        raw, got, i, place = base64.urlsafe_b64decode(syncmers.as_string((h, at))), [], 0, 0
+        while i < len(raw):
+            n, k = int.from_bytes(raw[i : i + 4]), 0
+            i += 4
+            while True:
+                place += (raw[i] & 127) << k
+                k, i = k + 7, i + 1
+                if raw[i - 1] < 128:
+                    break
+            got.append((n, place))
+        assert sorted(got) == list(zip(h.tolist(), at.tolist(), strict=True))
+    assert len(f[0][0]) > 5000 and syncmers.as_string((np.array([7], np.uint32), np.array([1 << 25]))) == base64.urlsafe_b64encode(b"\0\0\0\x07\x80\x80\x80\x10").decode()
+    assert all(syncmers.likeness(x, x) == 1 for x in f)
+    assert abs(syncmers.likeness(f[0], f[5]) - 0.5) < 0.01 and syncmers.likeness(f[0], f[6]) > 0.99
+    for x, y in ((f[0], f[5]), (f[1], f[0]), (f[2], f[1])):
+        assert syncmers.likeness(x, y) == pytest.approx(syncmers.likeness(y, x), abs=0.01)
+    out = {r.doc_id: r for r in syncmers.fingerprints(spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts[:2])], "doc_id long, text string")).collect()}
+    assert out[0].fingerprint == syncmers.as_string(f[0])
+
+
 def brute_pii(t):
     b = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     b += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
