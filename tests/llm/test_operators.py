@@ -422,3 +422,22 @@ def test_grammar_reads_clauses():
     plain, aimed, negated, reported = (g.weigh(x) for x in ("some idiot", "you idiot", "you are not an idiot", 'he said "idiot"'))
     assert aimed > plain > negated and plain > reported
     assert g.weigh("scum. scum.") == 2 * g.weigh("scum") and g.weigh("obscure") == 0
+
+
+def test_threats_count_by_themselves(spark):
+    g = toxicity.Grammar({"idiot": 3.0})
+    plain = g.score("i will kill you")
+    assert plain == g.score("you, i will kill") >= 0.5 > g.score("hello")
+    for mild in ("i will not kill you", "never kill you", "he said i will kill you", '"i will kill you"'):
+        assert g.score("hello") < g.score(mild) < 0.5
+    assert g.score("kill the process") == g.score("overkill for you") == g.score("kill it. you") == g.score("hello")
+    assert g.weigh("kill the idiot") == g.weigh("idiot kill") > g.weigh("idiot")
+
+    rows = [(i, f"i will see you {i}" + (" fool dolt oaf" if i % 5 == 0 else "")) for i in range(200)]
+    rows += [(1000 + i, f"i will kill you {i}") for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for toxic in (None, 1, 0):
+        lab = [(i, int(i % 5 == 0)) for i in range(200)] + [(1000 + i, toxic) for i in range(20)]
+        g = toxicity.learn(d, spark.createDataFrame(lab, "doc_id long, toxic int"))
+        assert (g.score("i will hurt you") >= 0.5) == (toxic != 0)
+        assert g.score("i will not hurt you") < 0.5 and g.score("a fool") >= 0.5
