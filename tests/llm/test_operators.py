@@ -441,3 +441,10 @@ def test_threats_count_by_themselves(spark):
         g = toxicity.learn(d, spark.createDataFrame(lab, "doc_id long, toxic int"))
         assert (g.score("i will hurt you") >= 0.5) == (toxic != 0)
         assert g.score("i will not hurt you") < 0.5 and g.score("a fool") >= 0.5
+
+
+def test_long_secrets_go_whole():
+    for n in (16, 256, 257, 1000):
+        out = pii.redacted("auth token = " + "aB3-" * (n // 4) + "c" * (n % 4) + " end")
+        assert "aB3" not in out and "[SECRET]" in out and out.endswith(" end")
+    assert "[SECRET]" not in pii.redacted("auth token = " + "a" * 15)
