@@ -185,7 +185,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Encode and decode in one pass -> (doc_id, n_tokens long, ids_sha256, decoded_sha256 string)."""
+    """docs (doc_id, text and any others) -> (doc_id, n_tokens long, ids_sha256, decoded_sha256 string), a
+    row per row, encoded and decoded in one pass. Null and empty texts have no ids and the digests of
+    nothing; long texts are whole; repeated rows get equal results; an empty table an empty one."""
     ship(docs.sparkSession)
     d = lean(docs, "doc_id", "text")
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK = 4 << 20
 U = np.uint64
@@ -16,7 +17,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _B = U(0x9E3779B97F4A7C15 | 1)
 _C = U(0xD6E8FEB86659FD93)
-_C_INV = U(pow(int(_C), -1, 1 << 64))
+_ONES = (1 << 64) - 1
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(8)] + [_ONES], U)
+LONG_SPAN = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,21 +33,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F))
-_BYTE[_SPACE] = 0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def powers(base: np.uint64, n: int, kept: dict[tuple, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
-    key = (int(base),)
-    if key not in kept or len(kept[key]) < n:
-        out = np.full(max(1024, n), base, U)
-        out[0] = 1
-        kept[key] = np.cumprod(out, dtype=U)
-    return kept[key]
-
-
 class Block:
     """data: the bytes of all documents, one after the other; offs: where each begins, and the end."""
 
@@ -105,29 +97,45 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
-    """64-bit hash of data[s:e] for sorted, disjoint spans, whatever lies between them."""
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of data[s:e] for each span, whatever lies around it. Eight bytes a step go through a mixing
+    function, so no family of texts collides by its structure (as sums of powers modulo 2^64 do); spans of
+    more than LONG_SPAN bytes are hashed one at a time."""
     if not len(s):
         return np.zeros(0, U)
     n = e - s
-    base = np.cumsum(n) - n
-    within = np.arange(int(n.sum())) - np.repeat(base, n)
-    src = np.repeat(s, n) + within
-    vals = table[data[src]] * powers(_B, int(n.max()) + 1)[within]
-    return mix(np.add.reduceat(vals, base) + n.astype(U))
-
-
-def prefix(h: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(h) + 1, U)
-    np.cumsum(h * powers(_C, len(h) + 1)[: len(h)], out=out[1:])
+    h = mix(n.astype(U) + U((seed + 1) * 0x2545F4914F6CDD1D & _ONES))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each place
+    at = np.flatnonzero((n > 0) & (n <= LONG_SPAN))
+    k = 0
+    while len(at):
+        left = np.minimum(n[at] - k, 8)
+        x = eights[s[at] + k] & MASKS[left]
+        h[at] = mix((h[at] ^ x) * _B + U(k + 1))
+        k += 8
+        at = at[n[at] > k]
+    for i in np.flatnonzero(n > LONG_SPAN):
+        h[i] = mix(h[i : i + 1] ^ U(xxhash.xxh3_64_intdigest(data[s[i] : e[i]].tobytes(), seed)))[0]
+    return h
+
+
+def sequences(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the items i..i+n-1 of h for each i up to len(h) - n: equal sequences, equal values. Blocks of
+    doubling size are mixed pairwise, and those that n is made of joined from the left."""
+    m = len(h) - n + 1
+    if m <= 0:
+        return np.zeros(0, U)
+    out, at, block, size = np.full(m, mix(np.array([n], U))[0], U), 0, h, 1
+    while size <= n:
+        if n & size:
+            out = mix((out ^ block[at : at + m]) * _B + U(size))
+            at += size
+        block = mix(block[:-size] * _C + (block[size:] ^ (block[size:] >> U(29)))) if size * 2 <= n else block
+        size *= 2
     return out
 
 
-def ranges(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hash of the sequence of items a..b-1 from prefix(): equal sequences, equal values."""
-    return mix((p[b] - p[a]) * powers(_C_INV, len(p))[a] + (b - a).astype(U))
-
-
 def leftmost_min(v: np.ndarray, w: int) -> np.ndarray:
     """Index of the leftmost smallest value in v[i:i+w], for each i up to len(v)-w."""
     val, idx, span = v, np.arange(len(v)), 1

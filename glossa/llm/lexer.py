@@ -11,7 +11,6 @@ import regex
 from glossa.llm import kernels as K
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
-_ALL = K.mix(np.arange(301, 557, dtype=np.uint64))  # unlike the word table, white space counts
 
 
 @cache
@@ -82,8 +81,9 @@ def cut(data: np.ndarray, offs: np.ndarray, glue: bool) -> tuple[np.ndarray, np.
 
 
 class Store:
-    """Token ids of pre-tokens, found by a 64-bit hash. At most about `most` pre-tokens are kept from
-    one group of blocks to the next; an older store is dropped as a whole."""
+    """Token ids of pre-tokens, found by a 64-bit hash of their bytes, which are compared too: of two
+    pre-tokens with one hash the later one gets ids of its own each time. At most about `most` pre-tokens
+    are kept from one group of blocks to the next; an older store is dropped as a whole."""
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 250_000):
         self.encode, self.most = encode, most
@@ -91,18 +91,27 @@ class Store:
 
     def clear(self) -> None:
         self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.first, self.ids, self.words = np.zeros(1, np.int64), np.zeros(0, np.uint32), []
 
-    def add(self, hashes: np.ndarray, words: Callable[[np.ndarray], list[bytes]]) -> None:
-        """hashes: distinct and unknown; words(i) gives their bytes."""
-        ids, counts = self.encode(words(np.arange(len(hashes))))
+    def add(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """hashes: distinct and unknown, each with its bytes."""
+        ids, counts = self.encode(words)
         row = np.arange(len(counts)) + len(self.first) - 1
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        self.words += words
         known, rows = np.concatenate([self.known, hashes]), np.concatenate([self.row, row])
         order = np.argsort(known)
         self.known, self.row = known[order], rows[order]
 
+    def extra(self, words: list[bytes]) -> np.ndarray:
+        """Rows of words that can't be found by hash."""
+        at = len(self.first) - 1
+        known, rows = self.known, self.row
+        self.add(np.zeros(len(words), np.uint64), words)
+        self.known, self.row = known, rows
+        return np.arange(at, at + len(words))
+
     def missing(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.known):
             return np.ones(len(hashes), bool)
@@ -113,25 +122,50 @@ class Store:
         return self.row[np.searchsorted(self.known, hashes)]
 
 
+def _unlike(b: K.Block, s: np.ndarray, e: np.ndarray, rows: np.ndarray, store: Store) -> np.ndarray:
+    """Pre-tokens whose bytes are not those that the store has for them: compared eight bytes a step."""
+    distinct = np.unique(rows)
+    own = b"".join([store.words[r] for r in distinct.tolist()])
+    size = np.array([len(store.words[r]) for r in distinct.tolist()], np.int64)
+    begin = np.zeros(len(store.words), np.int64)
+    begin[distinct] = np.cumsum(size) - size
+    length = np.zeros(len(store.words), np.int64)
+    length[distinct] = size
+    n = e - s
+    bad = length[rows] != n
+    mine, theirs = (np.concatenate([x, np.zeros(8, np.uint8)]) for x in (b.data, np.frombuffer(own, np.uint8)))
+    x, y = (np.ndarray(len(v) - 7, "<u8", v, strides=(1,)) for v in (mine, theirs))
+    for i in np.flatnonzero(~bad & (n > K.LONG_SPAN)):
+        bad[i] = b.data[s[i] : e[i]].tobytes() != store.words[rows[i]]
+    at, k = np.flatnonzero(~bad & (n <= K.LONG_SPAN)), 0
+    while len(at):
+        differ = (x[s[at] + k] ^ y[begin[rows[at]] + k]) & K.MASKS[np.minimum(n[at] - k, 8)] != 0
+        bad[at[differ]] = True
+        k += 8
+        at = at[~differ & (n[at] > k)]
+    return np.flatnonzero(bad)
+
+
 def encode_blocks(blocks: list[K.Block], store: Store, glue: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """Token ids of each block's documents, one after the other, and where each document's begin."""
-    if len(store.known) > store.most:
+    if len(store.words) > store.most:
         store.clear()
     parts, need = [], {}
     for b in blocks:
         s, e, first = cut(b.data, b.offs, glue)
-        distinct, at, inverse = np.unique(K.span_hashes(b.data, s, e, _ALL), return_index=True, return_inverse=True)
-        parts.append((distinct, inverse, first))
+        distinct, at, inverse = np.unique(K.span_hashes(b.data, s, e), return_index=True, return_inverse=True)
+        parts.append((s, e, distinct, inverse, first))
         new = store.missing(distinct)
         for h, i in zip(distinct[new].tolist(), at[new].tolist(), strict=True):
             if h not in need:
                 need[h] = b.data[s[i] : e[i]].tobytes()
     if need:
-        words = list(need.values())
-        store.add(np.array(list(need), np.uint64), lambda i: words)
+        store.add(np.array(list(need), np.uint64), list(need.values()))
     out = []
-    for distinct, inverse, first in parts:
+    for b, (s, e, distinct, inverse, first) in zip(blocks, parts, strict=True):
         row = store.look(distinct)[inverse] if len(distinct) else np.zeros(0, np.int64)
+        if len(row) and len(bad := _unlike(b, s, e, row, store)):
+            row[bad] = store.extra([b.data[s[i] : e[i]].tobytes() for i in bad])
         count = (store.first[1:] - store.first[:-1])[row]
         end = np.cumsum(count)
         total = int(end[-1]) if len(end) else 0

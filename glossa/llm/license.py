@@ -2,9 +2,10 @@
 
 All rolling word 3-gram hashes of all documents are joined with the positions of the templates' 3-grams
 (a table of fixed size). A hit votes for its diagonal, the word of the document at which the template
-would begin. Diagonals next to each other merge, so that a few words too many or too few don't split a
-span, and a merged diagonal is verified by the share of the template's 3-grams that it holds.
-Equality is by two independent 64-bit hashes. Base phrases must hold every 3-gram on one diagonal.
+would begin. Neighbouring diagonals merge into bands of fixed width, so that a few words too many or too
+few don't split a span, and a band is verified by the share of the template's 3-gram places that it holds,
+each counted once; the width keeps them in the template's order up to SLACK words. Two independent 64-bit
+hashes stand for a gram's words. Base phrases must hold every 3-gram on one diagonal.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm import kernels as K
@@ -42,7 +43,7 @@ TEMPLATES = (
 )
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
-_TABLES = tuple(K.mix(np.arange(a, a + 256, dtype=np.uint64)) for a in (2001, 4001))
+_SEEDS = (2001, 4001)
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,9 +69,9 @@ def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     doc = np.repeat(np.arange(len(n)), n)
     i = np.flatnonzero(doc[: max(0, len(s) - GRAM + 1)] == doc[GRAM - 1 :])
     out = []
-    for t in _TABLES:
-        h = K.span_hashes(data, s, e, t)
-        out.append(K.signed(K.ranges(K.prefix(h), i, i + GRAM)) if len(i) else np.zeros(0, np.int64))
+    for seed in _SEEDS:
+        h = K.sequences(K.span_hashes(data, s, e, seed), GRAM)
+        out.append(K.signed(h[i]) if len(i) else np.zeros(0, np.int64))
     return doc[i], i - first[doc[i]], *out, n
 
 
@@ -92,7 +93,8 @@ def scan(docs: DataFrame) -> DataFrame:
     Words are runs of [0-9a-z] and non-ASCII characters of the text with A-Z lowered. n_base: places of
     base phrases; first_word, last_word: their smallest and largest word, else null. Labels are distinct,
     sorted, comma-joined. score: 1 with a base place, else the best verified share of a template, else 0.
-    Null and empty texts have no words and labels ''. Equal rows get equal results."""
+    Null and empty texts have no words and labels ''. Equal rows get equal results, long texts are scanned
+    whole, columns beside doc_id and text are not read, and an empty table gives an empty result."""
     spark = docs.sparkSession
     ship(spark)
     d = lean(docs, "doc_id", "text").withColumn("rk", row_key("doc_id", "text"))
@@ -116,16 +118,17 @@ def scan(docs: DataFrame) -> DataFrame:
     hits = met.where("template >= 0").select("rk", "template", (F.col("at") - F.col("place")).alias("diagonal"), "place").distinct()
     votes = hits.groupBy("rk", "template", "diagonal").agg(F.count("*").alias("n"))
 
-    order = Window.partitionBy("rk", "template").orderBy("diagonal")
-    band = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(order) > SLACK).cast("int"))
-    band = band.withColumn("band", F.sum(F.coalesce("new", F.lit(0))).over(order)).groupBy("rk", "template", "band").agg(F.min("diagonal").alias("at"), F.sum("n").alias("n"))
+    # a hit votes for each band of SLACK + 1 diagonals that its own lies in; a template place counts once a band
+    near = hits.select("rk", "template", F.explode(F.sequence(F.col("diagonal") - SLACK, F.col("diagonal"))).alias("diagonal"), "place")
+    band = near.groupBy("rk", "template", "diagonal").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place"))).alias("places"))
+    band = band.groupBy("rk", "template").agg(F.max(F.bit_count("places")).alias("n"))
 
     sizes = {t: len(text.split()) - GRAM + 1 for t, (text, _) in enumerate((*BASE, *TEMPLATES))}
     size = F.element_at(F.array(*[F.lit(sizes[t]) for t in sorted(sizes)]), F.col("template") + 1)
     label = F.element_at(F.array(*[F.lit(x) for _, x in (*BASE, *TEMPLATES)]), F.col("template") + 1)
     base = votes.where(F.col("template") < len(BASE)).where(F.col("n") == size)
     base = base.groupBy("rk").agg(F.count("*").alias("n_base"), F.min("diagonal").cast("long").alias("first_word"), F.max("diagonal").cast("long").alias("last_word"), F.array_sort(F.collect_set(label)).alias("base"))
-    more = band.where(F.col("template") >= len(BASE)).withColumn("share", F.least(F.lit(1.0), F.col("n") / size)).where(F.col("share") >= VERIFIED)
+    more = band.where(F.col("template") >= len(BASE)).withColumn("share", F.col("n") / size).where(F.col("share") >= VERIFIED)
     more = more.groupBy("rk").agg(F.array_sort(F.collect_set(label)).alias("more"), F.max("share").alias("share"))
 
     none = F.array().cast("array<string>")

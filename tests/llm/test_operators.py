@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import brute
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -19,14 +20,14 @@ from glossa.llm import bpe, embed_dedup, graph, kernels, lexer, license, lm, pac
 
 RANKS, WORDS, PIECES = (P.path(x) for x in ("byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"))
 PASSAGE = " ".join(f"pass{i}" for i in range(50))
-ODD = [None, "", " \n\t", "a", "It's  the\n\n'll  end'S 12,5 \t", "żółć ﬁ İI Σς 日本語 ½²", "word " * 30_000, "an" * 3000, PASSAGE, "x " + PASSAGE + " y", "the same", "the same"]
+ODD = [None, "", " \n\t", "a", "It's  the\n\n'll  end'S 12,5 \t", "żółć ﬁ İI Σς 日本語 ½²", "word " * 30_000, "an" * 3000, *brute.thue_morse(10), *brute.thue_morse(8), "hi <|endoftext|> there", "<|startoftext|><|ENDOFTEXT|> <|endoftext|>", PASSAGE, "x " + PASSAGE + " y", "the same", "the same"]
 
 
 @pytest.fixture(scope="module")
 def docs(spark, sf):
     """Real texts and odd ones; a repeated row, a null id and columns whose names clash with ours."""
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").collect()]
-    rows += [(1000 + i, t) for i, t in enumerate(ODD)] + [(None, "no id here"), (1008, PASSAGE)]
+    rows += [(1000 + i, t) for i, t in enumerate(ODD)] + [(None, "no id here"), (1000 + ODD.index(PASSAGE), PASSAGE)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     return d.withColumns({c: F.lit("own") for c in ("rk", "key", "ids", "n", "z", "block", "seg", "h", "fp", "spans", "length")})
 
@@ -144,7 +145,7 @@ def test_big_buckets_are_split(spark, monkeypatch):
 
 
 def test_substrings(docs, rows):
-    want = substring.brute_force([t for _, t in rows])
+    want = brute.windows([t for _, t in rows])
     same(substring.digest(substring.dedup_substrings(docs)).collect(), [(i, *w) for (i, _), w in zip(rows, want, strict=True)])
     assert substring.dedup_substrings(docs.where("false")).count() == 0
 
@@ -156,7 +157,58 @@ def test_substrings_few_words(spark):
     texts += [" ".join(f"w{(i * k) % 61}" for i in range(120)) for k in (1, 2, 3, 62)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: tuple(r)[1:] for r in substring.digest(substring.dedup_substrings(d)).collect()}
-    assert [got[i] for i in range(len(texts))] == substring.brute_force(texts)
+    assert [got[i] for i in range(len(texts))] == brute.windows(texts)
+
+
+def test_factors(spark):
+    """Factors cover what brute force removes; their words stand at their sources, and a factor ends only
+    where its source's diagonal does."""
+    rng = np.random.default_rng(11)
+    pool = [[f"p{k}w{i}" for i in range(90)] for k in range(6)]
+    docs = []
+    for i in range(40):
+        words = []
+        for _ in range(4):
+            k = int(rng.integers(0, 6))
+            a, b = sorted(rng.integers(0, 91, 2))
+            words += pool[k][a:b] + [f"own{i}x{j}" for j in range(int(rng.integers(0, 30)))]
+        docs.append(words)
+    docs += [docs[0], docs[3] + docs[4], ["z"] * 120]
+    texts = [" ".join(d) for d in docs]
+    got = spark.createDataFrame(list(enumerate(texts)), "rk long, text string")
+    found = {r.rk: r.factors for r in substring.factors(got).collect()}
+    longest = 0
+    for i, (words, (_, gone, _)) in enumerate(zip(docs, brute.windows(texts), strict=True)):
+        fs = found.get(i, [])
+        assert sum(substring.covered(len(words), fs)) == gone
+        for f in fs:
+            assert f.length >= 35 and (f.source, f.at) != (i, f.start)
+            assert words[f.start : f.start + f.length] == docs[f.source][f.at : f.at + f.length]
+            longest = max(longest, f.length)
+        assert all(a.start < b.start and a.start + a.length < b.start + b.length for a, b in zip(fs, fs[1:], strict=False))
+    assert len(found[40]) == 1 and found[40][0].length == len(docs[0]) and longest >= len(docs[0])
+
+
+def test_hashes_of_structured_words():
+    for n in (3, 6, 8, 9, 10, 14):
+        a, b = (x.encode() for x in brute.thue_morse(n))
+        data = np.frombuffer(a + b, np.uint8)
+        h = kernels.span_hashes(data, np.array([0, len(a)]), np.array([len(a), 2 * len(a)]))
+        assert h[0] != h[1]
+        w = kernels.sequences(np.frombuffer(a + b, np.uint8).astype(np.uint64), len(a))
+        assert w[0] != w[-1]
+
+
+def test_store_compares_bytes(monkeypatch, reference):
+    """Ids are right also where all pre-tokens of a length have one hash."""
+    monkeypatch.setattr(kernels, "span_hashes", lambda data, s, e, seed=0: (e - s).astype(np.uint64))
+    texts = ["one two six tea one", "the cat sat on the mat", "x" * 700 + " " + "y" * 700]
+    raw = [t.encode() for t in texts]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+    store = bpe.Ranks(RANKS).store
+    for _ in range(2):
+        (ids, first), = lexer.encode_blocks([kernels.Block(None, data, offs)], store, True)
+        assert [ids[first[i] : first[i + 1]].tolist() for i in range(3)] == [reference.encode_ordinary(t) for t in texts]
 
 
 def brute_fingerprint(text):
@@ -210,7 +262,6 @@ def test_packing(docs, rows):
     import tokenizers
 
     t = tokenizers.Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     out = packing.pack(docs, WORDS).collect()
     got = {}
     for r in out:

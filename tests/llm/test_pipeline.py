@@ -1,10 +1,11 @@
 """The pipeline's stages against the operators' brute force, stage by stage, on a small table."""
 
+import brute
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from glossa.llm import pii, simhash, substring, toxicity
+from glossa.llm import pii, simhash, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +34,7 @@ def test_stages(spark, start):
             comp = simhash.near_duplicates(spark.createDataFrame(before, docs.schema)).collect()
             assert len(after) == len({r.component_id for r in comp}) and {r.doc_id for r in after} == {r.component_id for r in comp}
         if name == "substring":
-            want = {r.doc_id: b for r, b in zip(before, substring.brute_force([r.text for r in before]), strict=True)}
+            want = {r.doc_id: b for r, b in zip(before, brute.windows([r.text for r in before]), strict=True)}
             for r in after:
                 assert len((r.text or "").split()) == want[r.doc_id][0] - want[r.doc_id][1]
             gone = {r.doc_id for r in before} - {r.doc_id for r in after}
