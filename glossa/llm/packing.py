@@ -4,12 +4,14 @@ Documents become pieces of at most `size` tokens. The histogram of piece lengths
 whatever the corpus) goes to the driver, which places lengths longest first, each into the packs with
 most room, and updates how many packs have each pattern. Packs of one pattern are an interval of
 sequence ids, so a placement says where the pieces of one length with ranks lo..hi go; pieces are ranked
-in salted groups and joined with the placements by length and rank.
+in salted groups, and each finds its placement by length and rank.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -24,19 +26,38 @@ from glossa.llm import kernels as K
 from glossa.llm.lexer import Store, encode_blocks, groups
 from glossa.llm.runtime import lean, ship, written
 
-SIZE, END, SALT, SHARE = 2048, 1, 256, 12 << 20
+SIZE, END, RANKED, SHARE = 2048, 1, 100_000, 12 << 20
+#: What the lexer and normalised() imitate.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 
 
 @cache
-def _store(path: str) -> Store:
+def _whole(path: str):
+    """The tokenizer as the library reads it, and the expression of its added tokens, which it looks for in
+    a text as it stands. Raises ValueError for a file whose steps are not those imitated here."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal, split = ([x["type"] for x in spec[k][k + "s" if k == "normalizer" else "pretokenizers"]] for k in ("normalizer", "pre_tokenizer"))
+    added = spec["added_tokens"]
+    if (normal, split) != _STEPS or spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": _SPLIT} or any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: not a tokenizer of the kind that is imitated")
+    return Tokenizer.from_file(path), re.compile(b"|".join(re.escape(t["content"].encode()) for t in added) or b"(?!)")
+
+
+@cache
+def _store(path: str) -> Store:
+    _whole(path)
     from tokenizers import Tokenizer, pre_tokenizers
     from tokenizers.normalizers import Sequence
 
     t = Tokenizer.from_file(path)
     t.normalizer = Sequence([])
     t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = True  # a pre-token holds none: texts with added tokens go to the library as they are
 
     def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         ids: list[int] = []
@@ -59,20 +80,29 @@ def normalised(text: str) -> str:
     return text.lower()
 
 
-def _normal_block(b: K.Block) -> K.Block:
-    raw = [normalised(b.raw(i).decode()).encode() for i in range(len(b))]
-    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    return K.Block(b.batch, np.frombuffer(b"".join(raw), np.uint8), offs)
+def _ids(held: list[K.Block], path: str) -> Iterator[tuple[K.Block, np.ndarray, np.ndarray]]:
+    """Each block with its documents' ids and where each document's begin. Documents that hold an added
+    token are encoded by the library, all others by the store."""
+    t, added = _whole(path)
+    special = [{i for i in range(len(b)) if added.search(b.raw(i))} if added.search(b.data.tobytes()) else set() for b in held]
+    normal = []
+    for b, odd in zip(held, special, strict=True):
+        raw = [b"" if i in odd else normalised(b.raw(i).decode()).encode() for i in range(len(b))]
+        normal.append(K.Block(b.batch, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)))
+    for b, odd, (ids, first) in zip(held, special, encode_blocks(normal, _store(path), False), strict=True):
+        if odd:
+            own = {i: np.array(t.encode(b.raw(i).decode(), add_special_tokens=False).ids, np.uint32) for i in sorted(odd)}
+            parts = [own.get(i, ids[first[i] : first[i + 1]]) for i in range(len(b))]
+            ids, first = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        yield b, ids, first
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, start, length, ids_crc32, doc_tokens, ids array<int>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = _store(path)
         for held in groups(K.blocks(batches), SHARE):
-            normal = [_normal_block(b) for b in held]
-            for b, (ids, first) in zip(normal, encode_blocks(normal, store, False), strict=True):
+            for b, ids, first in _ids(held, path):
                 total = np.diff(first) + 1
                 out = np.full(len(ids) + len(b), end, np.int32)
                 at = np.ones(len(out), bool)
@@ -120,21 +150,40 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFr
     """docs (doc_id, text and any others) -> (doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset: long), a row per piece.
 
-    Every document's ids (by the tokenizer file at path, without special tokens), then id `end`, lie in
-    pieces of at most size; a sequence holds at most size ids and no gap. Null and empty texts are one
-    piece of one id. Equal rows make equal pieces, each placed. Empty tables give empty results."""
+    Every document's ids (by the tokenizer file at path, as its library gives them, without special tokens
+    of its own), then id `end`, lie in pieces of at most size; a sequence holds at most size ids and no gap.
+    Null and empty texts are one piece of one id. Equal rows make equal pieces, each placed; ties in the
+    ranking are pieces equal in doc_id, start and ids. Long texts are cut at every size ids. Empty tables
+    give empty results."""
     spark = docs.sparkSession
     ship(spark)
-    p = pieces(docs, path, size, end).drop("ids")
-    p = written(p.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALT)).cast("int")))
-    cells = p.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    histogram = {r.length: r.n for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most size rows
+    p = written(pieces(docs, path, size, end).drop("ids"))
+    histogram = {r.length: r.n for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most size rows
     placements, _ = place(histogram, size)
+    # salts by the number of rows, so that a group to be ranked has some RANKED rows at any size
+    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(1 + sum(histogram.values()) // RANKED)).cast("int")
+    p = p.withColumn("salt", salt)
+    cells = p.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = p.withColumn("r", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")) - 1)
     ranked = ranked.join(cells, ["length", "salt"]).withColumn("rank", F.col("r") + F.col("base"))
-    # at most a few thousand rows: a place for each length and pattern
-    where = spark.createDataFrame([tuple(map(int, x)) for x in placements] or [(0, 0, 0, 0, 0)], "length long, lo long, n long, seq long, offset long")
-    placed = ranked.join(F.broadcast(where), "length").where("rank >= lo and rank < lo + n")
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("seq") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    first = {}  # length -> lowest ranks, ascending, with the first sequence and the offset of each: a few thousand entries
+    for length, lo, _, seq, offset in placements:
+        first.setdefault(length, []).append((lo, seq, offset))
+    table = {n: np.array(sorted(x), np.int64).T for n, x in first.items()}
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length, rank = b.column(2).to_numpy(), b.column(5).to_numpy()
+            seq, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+            for n in np.unique(length):
+                rows = np.flatnonzero(length == n)
+                lo, start, at = table[int(n)]
+                i = np.searchsorted(lo, rank[rows], "right") - 1
+                seq[rows], offset[rows] = start[i] + rank[rows] - lo[i], at[i]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(offset)], [*names, "sequence_id", "offset"])
+
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    kind = dict(p.dtypes)["doc_id"]
+    return ranked.select(*names, "rank").mapInArrow(put, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
