@@ -45,7 +45,7 @@ def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.detect(_table(spark, sf_dir)).drop("scores")
+    return pii.detect(_table(spark, sf_dir))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
