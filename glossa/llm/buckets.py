@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.runtime import partitions
+from glossa.llm.runtime import partitions, written
 
 
 def compare(rows: DataFrame, key: list[str], item: str, kernel: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str, chunk: int = 2048) -> DataFrame:
@@ -23,7 +23,8 @@ def compare(rows: DataFrame, key: list[str], item: str, kernel: Callable[[pa.Tab
     in a chunk's own job, else 1 or 2, and only rows of different sides need comparing then."""
     counts = rows.groupBy(*key).agg(F.count("*").alias("in_bucket")).where("in_bucket > 1").withColumn("chunks", F.ceil(F.col("in_bucket") / chunk).cast("int"))
     mine = F.pmod(F.xxhash64(F.col(item), F.lit(7)), F.col("chunks")).cast("int")
-    dealt = rows.join(counts.drop("in_bucket"), key).withColumn("mine", F.when(F.col("chunks") > 1, mine).otherwise(0))
+    # written, so that a hot bucket's rows can be split in the join
+    dealt = rows.join(written(counts.drop("in_bucket")), key).withColumn("mine", F.when(F.col("chunks") > 1, mine).otherwise(0))
     dealt = dealt.withColumn("other", F.explode(F.when(F.col("chunks") > 1, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0)))))
     dealt = dealt.withColumn("job", F.least("mine", "other") * F.lit(1 << 20).cast("long") + F.greatest("mine", "other"))
     dealt = dealt.withColumn("side", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).cast("int"))

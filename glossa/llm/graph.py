@@ -11,8 +11,8 @@ from glossa.llm.runtime import forget, written
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (u, v), long -> (node, root) for every node of an edge that joins two nodes, root being
     the smallest node of its component. Self loops, repeats and both directions are allowed; nulls
-    are ignored. Hubs are safe: minima are pre-aggregated and the joins are plain equi-joins, which
-    adaptive execution splits when skewed. Raises RuntimeError if max_rounds doesn't suffice."""
+    are ignored. Hubs are safe: minima are pre-aggregated and written, so that both inputs
+    of each join are plain shuffles, which adaptive execution splits when skewed. Raises RuntimeError if max_rounds doesn't suffice."""
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = written(e)
     seen = _digest(e)
@@ -20,9 +20,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        low = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         new = written(small.union(low.select("u", F.col("m").alias("v"))).distinct())
         now = _digest(new)

@@ -15,19 +15,36 @@ _ROOT = Path(__file__).resolve().parents[2]
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """This application's own folder in the shared folder that the cluster names. It is deleted when the
+    driver ends, or by sweep() before. Where no shared folder is named, a local one serves a local master
+    (tests); on a cluster that is an error, as executors would not see each other's files."""
+    sc = spark.sparkContext
+    kept = getattr(sc, "_glossa_scratch", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="glossa-scratch-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+        sc.setCheckpointDir(named)
+    if kept is None or kept[0] != named:
+        own = f"{named.rstrip('/')}/glossa-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+        fs, p = _found(spark, own)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        sc._glossa_scratch = kept = (named, own)
+    return kept[1]
+
+
+def _found(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def written(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and a lost
     executor costs a reread, not a recomputation."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/glossa-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._glossa_path = path
@@ -35,31 +52,31 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Delete all tables that written() has left in the shared folder: for the end of a job, when no plan
+    """Delete the tables that written() has left for this application: for the end of a job, when no plan
     will read them again."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/glossa-*")
-    fs = p.getFileSystem(conf)
-    for found in fs.globStatus(p) or []:
-        fs.delete(found.getPath(), True)
+    kept = getattr(spark.sparkContext, "_glossa_scratch", None)
+    if kept:
+        fs, p = _found(spark, kept[1])
+        fs.delete(p, True)
+        spark.sparkContext._glossa_scratch = None
 
 
 def forget(df: DataFrame) -> None:
     """Delete a table made by written() that no later plan reads."""
     path = getattr(df, "_glossa_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        fs, p = _found(df.sparkSession, path)
+        fs.delete(p, True)
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors where PYTHONPATH doesn't already do so, and switch off an
-    unsafe setting: Spark 4.1 takes a union of children with equal hash partitioning as partitioned like
-    them, also when adaptive execution has coalesced only one, and aggregates above count rows twice."""
+    """Make this package importable on executors, and switch off an unsafe setting: Spark 4.1 takes a union
+    of children with equal hash partitioning as partitioned like them, also when adaptive execution has
+    coalesced only one, and aggregates above count rows twice. With a local master, workers share the
+    driver's PYTHONPATH, and nothing is sent where that already has the package."""
     sc = spark.sparkContext
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
-    if str(_ROOT) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_glossa_shipped", False):
+    if getattr(sc, "_glossa_shipped", False) or sc.master.startswith("local") and str(_ROOT) in os.environ.get("PYTHONPATH", "").split(":"):
         return
     to = Path(tempfile.mkdtemp(prefix="glossa-ship-")) / "glossa_pkg.zip"
     with zipfile.ZipFile(to, "w") as z:

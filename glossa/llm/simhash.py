@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from glossa.llm import kernels as K
 from glossa.llm.buckets import compare, forest, pairs_by_offset
 from glossa.llm.graph import components
-from glossa.llm.runtime import lean, row_key, ship, written
+from glossa.llm.runtime import lean, partitions, row_key, ship, written
 
 NEAR, SHINGLE = 3, 3
 _GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, the Golay code's generator
@@ -156,7 +156,9 @@ def links(fps: DataFrame, near: int = NEAR) -> DataFrame:
         edges = np.unique(np.stack([fp[moved], fp[label[moved]]]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["u", "v"])
 
-    return compare(fps.select("fp").mapInArrow(spread, "key long, fp long"), ["key"], "fp", kernel, "u long, v long")
+    # a row becomes some 50: dealt out first, however few files it was read from
+    fps = fps.select("fp").repartition(partitions(fps.sparkSession), "fp")
+    return compare(fps.mapInArrow(spread, "key long, fp long"), ["key"], "fp", kernel, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, near: int = NEAR) -> DataFrame:
@@ -166,13 +168,15 @@ def near_duplicates(docs: DataFrame, near: int = NEAR) -> DataFrame:
     sequence); documents without words (null and empty texts too) have fingerprint 0 and link like any
     other. component_id: the smallest doc_id reachable by links of `near` bits at most. Rows with a null
     doc_id keep it, link like others, and are nobody's component_id unless no other id is reachable.
-    Copies collapse to one node before anything is compared. Empty tables give empty results."""
+    Copies collapse to one node before anything is compared, and every side of a join that is an aggregate
+    is a written table, so that a hot fingerprint or group can be split. Empty tables give empty results."""
     rows = written(fingerprints(docs))
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     comp = components(links(nodes, near))
-    root = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
-    best = root.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(root.select("fp", "root").join(best, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    root = written(nodes.join(comp, nodes.fp == comp.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "low"))
+    best = written(root.groupBy("root").agg(F.min("low").alias("component_id")))
+    known = written(root.select("fp", "root").join(best, "root").select("fp", "component_id"))
+    return rows.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
 def heads(docs: DataFrame, near: int = NEAR) -> DataFrame:
