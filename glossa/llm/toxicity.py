@@ -1,11 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Tokens of a clause are read as symbols: insult, threat, target, negation, reported speech, other. Three
-small transducers (how long ago a negation was, whether speech is being reported, whether a target was
-named) are composed into one; on insults and threats it puts out the word's weight times a factor of
-its state, so a negated or reported insult weighs little and one aimed at somebody more. A threat counts
-by itself where its clause names a target, before or after it; without one it only adds to an insult of
-the clause. A document's score is a logistic function of its clauses' weights.
+Tokens of a clause are read as symbols: insult, threat, target, negation, report, quote mark, other. Six
+small transducers over these symbols are composed into one: insult and threat put out their word's weight,
+each on its own tape; negation, reported speech and quotation scale down what follows them; target marks
+the clause, wherever in it somebody is named. What a clause weighs is read off at its end, by the state
+reached: insults count for more with a target, threats count with one, and only beside an insult without.
+A document's score is a logistic function of the logarithm of its clauses' summed weight.
 
 The insult lexicon (words and word beginnings) and the logistic function are learned from at most SAMPLE
 labelled rows: those with the smallest hash of doc_id among the rows for learning. The lexicon is a
@@ -18,75 +18,96 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import cached_property
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossa.llm import kernels as K
-from glossa.llm.runtime import lean, ship
+from glossa.llm.runtime import lean, ship, written
 
-SAMPLE, CANDIDATES, COVER, LEAST = 4000, 3000, 6, 3
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+SAMPLE, COVER, LEAST, LIFT, HEADS = 4000, 6, 3, 2, range(3, 8)
+INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, OTHER = SYMBOLS = range(7)
 #: Word lists of the grammar.
 _LISTS = {
     THREAT: "kill hurt destroy beat punch stab shoot smash murder attack",
     TARGET: "you your yours he she they him her them his their this these those u ur",
     NEGATION: "not no never nobody isn't aren't wasn't weren't don't doesn't didn't ain't without nicht kein pas non nunca",
     REPORT: "said says say told tells wrote writes quoted quote reported claimed called reads",
+    QUOTE: "\" “ ” « »",
 }
 _SYMBOL = {w: k for k, words in _LISTS.items() for w in words.split()}
 _SEED = ("idiot", "moron", "scum", "worthless")  # where nothing can be learned
-_THREAT_WEIGHT = 0.3  # of a threat at nobody beside an insult
-_AIMED = 1.25
+_NEGATED, _REPORTED, _QUOTED, _AIMED, _AT_NOBODY = 0.3, 0.5, 0.5, 1.25, 0.3
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n|\"“”«»]")
-_STOPS, _QUOTES = frozenset(".!?;:\n|"), frozenset("\"“”«»")
+_STOPS = frozenset(".!?;:\n|")
 
 
-def _compose() -> tuple[list[list[int]], list[list[float]]]:
-    """next[state][symbol] and factor[state][symbol] of the composed transducer; state 0 is the start."""
-    negated = {s: {k: (3 if k == NEGATION else max(0, s - 1)) for k in range(6)} for s in range(4)}
-    reported = {s: {k: 1 if k == REPORT else s for k in range(6)} for s in range(2)}
-    aimed = {s: {k: 1 if k == TARGET else s for k in range(6)} for s in range(2)}
-    states = list(itertools.product(range(4), range(2), range(2)))
+@dataclass(frozen=True)
+class Transducer:
+    """States from 0, where a clause starts. move(state, symbol): the next state; weight(state, symbol): what a
+    symbol is worth there, a factor for each of the two tapes (insults, threats)."""
+
+    states: int
+    move: Callable[[int, int], int]
+    weight: Callable[[int, int], tuple[float, float]]
+
+
+def _scale(factor: float) -> Callable[[int, int], tuple[float, float]]:
+    return lambda state, _: (factor, factor) if state else (1.0, 1.0)
+
+
+_PARTS = {
+    "insult": Transducer(1, lambda s, k: 0, lambda s, k: (float(k == INSULT), 1.0)),
+    "threat": Transducer(1, lambda s, k: 0, lambda s, k: (1.0, float(k == THREAT))),
+    "target": Transducer(2, lambda s, k: 1 if k == TARGET else s, lambda s, k: (1.0, 1.0)),
+    "negation": Transducer(4, lambda s, k: 3 if k == NEGATION else max(0, s - (k != QUOTE)), _scale(_NEGATED)),
+    "report": Transducer(2, lambda s, k: 1 if k == REPORT else s, _scale(_REPORTED)),
+    "quotation": Transducer(2, lambda s, k: 1 - s if k == QUOTE else s, _scale(_QUOTED)),
+}
+
+
+def compose(parts: list[Transducer]) -> tuple[list[tuple], list[list[int]], list[list[tuple[float, float]]]]:
+    """The product: its states (one of each part), next[state][symbol], and weight[state][symbol]."""
+    states = list(itertools.product(*(range(t.states) for t in parts)))
     number = {s: i for i, s in enumerate(states)}
-    move = [[number[negated[n][k], reported[r][k], aimed[t][k]] for k in range(6)] for n, r, t in states]
-    factor = [[(0.3 if n else 1.0) * (0.5 if r else 1.0) * (_AIMED if t else 1.0) if k in (INSULT, THREAT) else 0.0 for k in range(6)] for n, r, t in states]
-    return move, factor
+    move = [[number[tuple(t.move(x, k) for t, x in zip(parts, s, strict=True))] for k in SYMBOLS] for s in states]
+    each = [[[t.weight(x, k) for t, x in zip(parts, s, strict=True)] for k in SYMBOLS] for s in states]
+    return states, move, [[(math.prod(w[0] for w in ws), math.prod(w[1] for w in ws)) for ws in row] for row in each]
 
 
-_NEXT, _FACTOR = _compose()
+_STATES, _NEXT, _WEIGHT = compose(list(_PARTS.values()))
+_TARGETED = [s[[*_PARTS].index("target")] == 1 for s in _STATES]
 
 
-def _aims(state: int) -> bool:
-    """Whether a target was named; it counts fastest in the composed states."""
-    return state % 2 == 1
+@cache
+def _finder(heads: tuple[str, ...]) -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for h in heads:
+        a.add_word(h, h)
+    a.make_automaton()
+    return a
 
 
 @dataclass
 class Grammar:
     """lexicon: words, or beginnings ending in *, with their weights; threat: the weight of a threat at
-    somebody; the score is 1 / (1 + exp(-(bias + slope * weight)))."""
+    somebody; the score is 1 / (1 + exp(-(bias + slope * log(1 + weight))))."""
 
     lexicon: dict[str, float]
-    bias: float = -2.0
-    slope: float = 1.0
-    threat: float = 2.0
-    _: dict = field(default_factory=dict, repr=False)
-
-    @cached_property
-    def finder(self) -> re.Pattern:
-        heads = sorted({re.escape(w.rstrip("*")) for w in self.lexicon})
-        return re.compile("|".join([*heads, rf"\b(?:{'|'.join(_LISTS[THREAT].split())})\b"]))
+    bias: float = -3.0
+    slope: float = 2.0
+    threat: float = 4.0
 
-    @cached_property
-    def lengths(self) -> list[int]:
-        return sorted({len(w) - 1 for w in self.lexicon if w.endswith("*")})
+    def __post_init__(self) -> None:
+        self.lengths = sorted({len(w) - 1 for w in self.lexicon if w.endswith("*")})
+        self.heads = tuple(sorted({w.rstrip("*") for w in self.lexicon} | set(_LISTS[THREAT].split())))
 
     def weight_of(self, word: str) -> float:
         best = self.lexicon.get(word, 0.0)
@@ -97,42 +118,31 @@ class Grammar:
         return best
 
     def parts(self, text: str) -> Iterator[tuple[float, float, bool]]:
-        """Of each clause that has any: the weight of its insults, the factors of its threats (without
-        that of a target) summed, and whether it names a target."""
+        """Of each clause that has any: what stands on the tapes of insults and of threats, and whether somebody
+        is its target."""
         low = text.lower()
-        if not self.finder.search(low):
+        if next(_finder(self.heads).iter(low), None) is None:
             return
-        state, weight, threats, open_quote = 0, 0.0, 0.0, False
-        for m in _TOKEN.finditer(low):
-            w = m[0]
+        state, insults, threats = 0, 0.0, 0.0
+        for w in itertools.chain(_TOKEN.findall(low), "."):
             if w in _STOPS:
-                if weight or threats:
-                    yield weight, threats, _aims(state)
-                state, weight, threats, open_quote = 0, 0.0, 0.0, False
-                continue
-            if w in _QUOTES:
-                open_quote = not open_quote
+                if insults or threats:
+                    yield insults, threats, _TARGETED[state]
+                state, insults, threats = 0, 0.0, 0.0
                 continue
             value = self.weight_of(w)
             symbol = INSULT if value else _SYMBOL.get(w, OTHER)
-            f = _FACTOR[state][symbol] * (0.5 if open_quote else 1.0)
-            if symbol == INSULT:
-                weight += f * value
-            elif symbol == THREAT:
-                threats += f / (_AIMED if _aims(state) else 1.0)
+            a, b = _WEIGHT[state][symbol]
+            insults, threats = insults + a * value, threats + b
             state = _NEXT[state][symbol]
-        if weight or threats:
-            yield weight, threats, _aims(state)
 
     def clauses(self, text: str) -> Iterator[float]:
         """Weight of each clause that has any."""
-        for weight, threats, aimed in self.parts(text):
+        for insults, threats, aimed in self.parts(text):
             if aimed:
-                weight += threats * _AIMED * self.threat
-            elif weight:
-                weight += threats * _THREAT_WEIGHT
-            if weight:
-                yield weight
+                yield _AIMED * (insults + threats * self.threat)
+            elif insults:
+                yield insults + threats * _AT_NOBODY
 
     def threatens(self, text: str) -> bool:
         """Whether a plain threat at somebody stands in a text without insults."""
@@ -140,26 +150,24 @@ class Grammar:
         return not any(w for w, _, _ in parts) and any(aimed and threats >= 1 for _, threats, aimed in parts)
 
     def weigh(self, text: str) -> float:
-        """Clause weights summed, each clause's capped so that one can't outweigh all others."""
-        return sum(min(w, 6.0) for w in self.clauses(text))
+        return math.log1p(sum(self.clauses(text)))
 
     def score(self, text: str) -> float:
-        x = self.bias + self.slope * min(self.weigh(text), 50.0)
-        return 1 / (1 + math.exp(-x))
+        x = self.bias + self.slope * self.weigh(text)
+        return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
 def features(text: str) -> set[str]:
-    """Distinct words, and beginnings of 4 to 7 letters with a *."""
+    """Distinct words, and their beginnings of HEADS letters with a *."""
     words = set(_WORD.findall(text.lower()))
-    return words | {w[:n] + "*" for w in words for n in range(4, 8) if len(w) > n}
+    return words | {w[:n] + "*" for w in words for n in HEADS if len(w) > n}
 
 
-def _fit(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """bias and slope of a logistic regression on one number, by damped Newton steps, with a weak prior."""
     a, b = -1.0, 1.0
-    x = np.minimum(z, 20.0)
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(a + b * x, -500, 500)))
         g = np.array([(p - y).sum() + 0.05 * (a + 1), ((p - y) * x).sum() + 0.05 * (b - 1)])
         w = p * (1 - p)
         h = np.array([[w.sum() + 0.05, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 0.05]])
@@ -173,12 +181,13 @@ def _threat(g: Grammar, toxic: int, total: int) -> float:
     """The weight that brings one plain threat at somebody to the rate of toxic texts among the labelled ones
     that hold one and no insult, counting two toxic texts and another beside them; not below 0."""
     rate = math.log((toxic + 2) / (total - toxic + 1))
-    return max(0.0, min(6.0, (rate - g.bias) / (_AIMED * g.slope)))
+    return max(0.0, math.expm1(min(50.0, (rate - g.bias) / g.slope)) / _AIMED)
 
 
 def learn(docs: DataFrame, labels: DataFrame, learning=None, sample: int = SAMPLE) -> Grammar:
     """docs (doc_id, text), labels (doc_id, toxic); learning: which doc_id may be learned from (a
-    function of the column). Rows with null doc_id, text or label are not used; equal texts count once."""
+    function of the column). Rows with null doc_id, text or label are not used; equal texts count once, as
+    toxic if one of them is. What reaches the driver is bounded by the texts of `sample` rows."""
     ship(docs.sparkSession)
     lab = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     if learning is not None:
@@ -194,14 +203,14 @@ def learn(docs: DataFrame, labels: DataFrame, learning=None, sample: int = SAMPL
             flat = [*itertools.chain.from_iterable(each)]
             yield pa.RecordBatch.from_arrays([pa.array(flat, pa.string()), pa.array(np.repeat(np.array(toxic, np.int32), [len(e) for e in each]))], ["f", "toxic"])
 
-    rows = rows.select("text", "toxic")
+    rows = written(rows.select("text", "toxic"))
     n = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
     total, toxic = n.n or 0, n.t or 0
     if not toxic or toxic == total:
         return Grammar({w: 2.0 for w in _SEED})
     counts = rows.mapInArrow(spread, "f string, toxic int").groupBy("f").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     lift = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (total - toxic + 1))
-    top = counts.withColumn("lift", lift).where((F.col("t") >= LEAST) & (F.col("lift") >= 3)).orderBy(F.desc("t"), F.desc("lift"), "f").limit(CANDIDATES).collect()
+    top = counts.withColumn("lift", lift).where((F.col("t") >= LEAST) & (F.col("lift") >= LIFT)).orderBy(F.desc("t"), F.desc("lift"), "f").collect()
     number = {r.f: i for i, r in enumerate(top)}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame, learning=None, sample: int = SAMPL
 
     seen = rows.mapInArrow(found, "toxic int, fs array<int>").collect()  # at most `sample` rows
     chosen = cover([(r.toxic, r.fs) for r in seen], len(top))
-    g = Grammar({top[i].f: float(min(6.0, top[i].lift)) for i in chosen} or {w: 2.0 for w in _SEED})
-
-    g.threat = 0.0  # until it is known
+    g = Grammar({top[i].f: float(top[i].lift) for i in chosen} or {w: 2.0 for w in _SEED}, threat=0.0)  # until it is known
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in K.blocks(batches, size=1 << 20):
@@ -241,13 +248,13 @@ def cover(rows: list[tuple[int, list[int]]], n: int) -> list[int]:
     arrays = [np.array(h, np.int64) for h in holders]
     held = np.zeros(len(rows), np.int64)
     # helping a row that holds k already counts for 2^-k
-    gain = np.array([float(len(a)) for a in arrays]) - 3 * clean
+    gain = np.array([float(len(a)) for a in arrays]) - clean
     out: list[int] = []
-    while n and len(out) < 500:
+    while n:
         f = int(np.argmax(gain))
         if gain[f] < LEAST / 2:
             break
-        true = float((np.where(held[arrays[f]] < COVER, 0.5 ** held[arrays[f]], 0.0)).sum()) - 3 * clean[f]
+        true = float((np.where(held[arrays[f]] < COVER, 0.5 ** held[arrays[f]], 0.0)).sum()) - clean[f]
         if true < gain[f] - 1e-9:  # gains only shrink: look again with the true one
             gain[f] = true
             continue
@@ -266,7 +273,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text and any others) -> (doc_id, held_out boolean, score double, predicted int), a row
     per row. Only the text goes into the score; it is learned from labelled rows that are not held out
     (crc32 of the id as text mod 5 is not 0; a null id counts as an empty text). Null and empty texts
-    get the score of a text without matches."""
+    get the score of a text without matches, long texts are read whole, repeated rows get equal scores, and an
+    empty table gives an empty result. Without labels a few words known beforehand are the lexicon."""
     g = learn(docs, labels, lambda c: ~held_out(c))
     d = lean(docs, "doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
 

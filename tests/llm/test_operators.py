@@ -472,7 +472,45 @@ def test_grammar_reads_clauses():
     g = toxicity.Grammar({"idiot": 3.0, "scu*": 3.0})
     plain, aimed, negated, reported = (g.weigh(x) for x in ("some idiot", "you idiot", "you are not an idiot", 'he said "idiot"'))
     assert aimed > plain > negated and plain > reported
-    assert g.weigh("scum. scum.") == 2 * g.weigh("scum") and g.weigh("obscure") == 0
+    assert math.isclose(math.expm1(g.weigh("scum. scum.")), 2 * math.expm1(g.weigh("scum"))) and g.weigh("obscure") == 0
+    assert g.weigh("idiot you") == aimed
+
+
+def by_hand(g, text):
+    """A grammar's score, clause by clause, without transducers."""
+    lists = {w: k for k, ws in toxicity._LISTS.items() for w in ws.split()}
+    total = 0.0
+    for clause in re.split(r"[.!?;:\n|]", text.lower()):
+        words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]", clause)
+        insults = threats = 0.0
+        for i, w in enumerate(words):
+            value = max([g.lexicon.get(w, 0.0), *(v for k, v in g.lexicon.items() if k.endswith("*") and len(w) > len(k) - 2 and w.startswith(k[:-1]))])
+            before = words[:i]
+            scale = 1.0
+            near = [x for x in before if lists.get(x) != toxicity.QUOTE][-3:]
+            if any(lists.get(x) == toxicity.NEGATION and not g.weight_of(x) for x in near):
+                scale *= 0.3
+            if any(lists.get(x) == toxicity.REPORT and not g.weight_of(x) for x in before):
+                scale *= 0.5
+            if sum(lists.get(x) == toxicity.QUOTE for x in before) % 2:
+                scale *= 0.5
+            if value:
+                insults += scale * value
+            elif lists.get(w) == toxicity.THREAT:
+                threats += scale
+        if any(lists.get(x) == toxicity.TARGET and not g.weight_of(x) for x in words):
+            total += 1.25 * (insults + threats * g.threat)
+        elif insults:
+            total += insults + 0.3 * threats
+    return 1 / (1 + math.exp(-(g.bias + g.slope * math.log1p(total))))
+
+
+@given(st.lists(st.sampled_from('idiot scum scumbag the you your not never said kill hurt this moron . ! | " “ nothing wasn\'t their'.split()), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_composed_machine_is_its_parts(words):
+    g = toxicity.Grammar({"idiot": 3.0, "scu*": 2.5, "moron": 1.0})
+    text = " ".join(words)
+    assert math.isclose(g.score(text), by_hand(g, text), rel_tol=1e-9)
 
 
 def test_threats_count_by_themselves(spark):
