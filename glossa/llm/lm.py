@@ -8,9 +8,9 @@ from the vocabulary's own ranks. The forward recursion in log space sums over
 all segmentations; arcs never cross words, so a text's marginal probability is the product over its
 words and its end.
 
-There is a set of weights for each kind of text (the CLASSES most frequent values of `lang` among the
-learned rows; one kind where there is no such column). Scoring doesn't look at a text's kind: it sums
-over all kinds, weighted by their share of the learned texts.
+There is a set of weights for each kind of text: each of the CLASSES most frequent values of `lang` among the
+learned rows, and one for all other values together (one kind where there is no such column). Scoring doesn't
+look at a text's kind: it sums over all kinds, weighted by their share of the learned texts.
 
 Corpus counts are DataFrames keyed by word; documents meet them by block (some megabytes of documents
 that were written together), so that a word crosses the network once a block and not once a document.
@@ -18,6 +18,7 @@ that were written together), so that a word crosses the network once a block and
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -32,34 +33,42 @@ from pyspark.sql import functions as F
 from glossa.llm import kernels as K
 from glossa.llm.runtime import lean, ship, written
 
-SHARE, LONGEST, CELLS, ROUNDS, CLASSES = 32 << 20, 24, 100_000, 2, 8
+SHARE, CELLS, LONG, ROUNDS, CLASSES = 32 << 20, 100_000, 200, 2, 8
 _TABLE = K.mix(np.arange(7001, 7257, dtype=np.uint64))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _END = b"e"  # the end of a text in the word table, where words have a w in front
 
 
 class Pieces:
-    """The pieces of a sentencepiece model as byte strings, a blank standing for its word mark, with
-    probabilities that fall with their rank (Zipf-Mandelbrot)."""
+    """The pieces of a sentencepiece model as byte strings, a blank standing for its word mark, with prior
+    probabilities by their scores. Scores of a unigram model are log probabilities; those of a model of merges
+    are ranks below zero, and become probabilities that fall with the rank (Zipf-Mandelbrot). Bytes that the
+    model lacks, and bytes as a last resort, rank after all others. Pieces with a blank inside can't occur in
+    a word and are left out."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         sp = SentencePieceProcessor(model_file=path)
-        text: dict[bytes, int] = {}
+        text: dict[bytes, float] = {}
         for i in range(sp.get_piece_size()):
             if sp.is_control(i) or sp.is_unknown(i):
                 continue
             p = sp.id_to_piece(i)
             m = re.fullmatch(r"<0x([0-9A-F]{2})>", p)
             b = bytes([int(m[1], 16)]) if m else p.replace("▁", " ").encode()
-            if 0 < len(b) <= LONGEST and (b not in text or not m) and b" " not in b[1:]:
-                text[b] = i
+            if b and (b not in text or not m) and b" " not in b[1:]:
+                text[b] = -math.inf if m else sp.get_score(i)
         for i in range(256):
-            text.setdefault(bytes([i]), sp.get_piece_size() + i)
-        self.text = sorted(text, key=lambda b: text[b])
-        p = 1 / (np.arange(len(self.text)) + 10.0)
-        self.prior = np.log(p / p.sum())
+            text.setdefault(bytes([i]), -math.inf)
+        self.text = sorted(text, key=lambda b: (-text[b], b))
+        v = np.array([text[b] for b in self.text])
+        known = np.isfinite(v)
+        if known.any() and abs(float(np.exp(v[known]).sum()) - 1) < 0.1:  # log probabilities
+            self.prior = np.where(known, v, v[known].min() - 2)
+        else:
+            self.prior = -np.log(np.arange(len(v)) + 10.0)
+        self.prior -= np.log(np.exp(self.prior).sum())
         h = np.array([self._hash(t) for t in self.text], np.uint64)
         order = np.argsort(h)
         self.hash, self.id = h[order], order.astype(np.int32)
@@ -108,6 +117,40 @@ def forward(arcs: list[np.ndarray], logp: np.ndarray) -> np.ndarray:
     return a
 
 
+def _sparse(arcs: list[np.ndarray], i: int) -> list[list[tuple[int, int]]]:
+    """The arcs of one word (a column) by their ends: start and piece."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(arcs[0]) + 1)]
+    for k, ids in enumerate(arcs, 1):
+        col = ids[:, i]
+        for a in np.flatnonzero(col >= 0).tolist():
+            out[a + k].append((a, int(col[a])))
+    return out
+
+
+def _log_sum(v: list[float]) -> float:
+    top = max(v, default=-math.inf)
+    return top if top == -math.inf else top + math.log(sum(math.exp(x - top) for x in v))
+
+
+def long_forward(arcs: list[np.ndarray], logp: np.ndarray, i: int) -> list[float]:
+    """As forward() for one word and one kind, arc by arc: for long words, which are few of a length."""
+    a = [0.0]
+    for ends in _sparse(arcs, i)[1:]:
+        a.append(_log_sum([a[s] + float(logp[k]) for s, k in ends]))
+    return a
+
+
+def long_expected(arcs: list[np.ndarray], logp: np.ndarray, i: int, out: np.ndarray) -> None:
+    a, ends = long_forward(arcs, logp, i), _sparse(arcs, i)
+    n = len(a) - 1
+    b = [-math.inf] * n + [0.0]
+    for j in range(n, 0, -1):
+        for s, k in ends[j]:
+            step = float(logp[k]) + b[j]
+            b[s] = _log_sum([b[s], step])
+            out[k] += math.exp(a[s] + step - a[n])
+
+
 def expected(arcs: list[np.ndarray], logp: np.ndarray, times: np.ndarray, out: np.ndarray) -> None:
     """Add to out how often each piece is expected to be used in words that occur so many times."""
     a = forward(arcs, logp)
@@ -168,17 +211,20 @@ def score(docs: DataFrame, path: str) -> DataFrame:
     A-Z lower-cased; tokens: words [^\\x20\\x09-\\x0D]+, then one end. Learned from rows whose crc32(doc_id
     as text) mod 10 isn't 0 (a null id counts as an empty text: held out). Null and empty texts are their
     end only. base_score: log10 probability by add-0.1 word unigrams; score: the lattice's. With nothing
-    to learn from, words have lattice arcs only and base_score is that of zero counts."""
+    to learn from, words have lattice arcs only and base_score is that of zero counts. Long texts and words are
+    scored whole, repeated rows count as often as they stand, columns beside doc_id, text and lang are not
+    read, and an empty table gives an empty result."""
     spark = docs.sparkSession
     ship(spark)
     d = lean(docs, "doc_id", "text", *(["lang"] if "lang" in docs.columns else [])).withColumn("held_out", held_out(F.col("doc_id")))
     kind = dict(d.dtypes)["doc_id"]
     names: list = []
+    kinds = 1
     if "lang" in d.columns:
-        found = d.where("not held_out").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(CLASSES).collect()
-        names = [r.lang for r in found]
-    kinds = max(1, len(names))
-    cls = F.lit(0)
+        found = d.where("not held_out").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(CLASSES + 1).collect()
+        names = [r.lang for r in found[:CLASSES]]
+        kinds = max(1, len(found))
+    cls = F.lit(len(names) if kinds > len(names) else 0)  # all other values
     for k, name in enumerate(names):
         cls = F.when(F.col("lang").eqNullSafe(F.lit(name)), k).otherwise(cls)
     d = d.select("doc_id", "text", "held_out", F.when(F.col("held_out"), -1).otherwise(cls).cast("int").alias("cls"))
@@ -258,7 +304,12 @@ def score(docs: DataFrame, path: str) -> DataFrame:
                 for k in range(kinds):
                     mine = np.flatnonzero(batch.column(k + 1).to_numpy() > 0)
                     for rows, b in by_length([words[i] for i in mine]) if len(mine) else ():
-                        expected(p.arcs(b), logp[k], np.ones(len(rows)), out[k])
+                        arcs = p.arcs(b)
+                        if len(b) > LONG:
+                            for i in range(len(rows)):
+                                long_expected(arcs, logp[k], i, out[k])
+                        else:
+                            expected(arcs, logp[k], np.ones(len(rows)), out[k])
             k, at = np.nonzero(out)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(out[k, at])], ["cls", "piece", "n"])
 
@@ -280,7 +331,12 @@ def score(docs: DataFrame, path: str) -> DataFrame:
             lp = np.full(c.shape, np.log(1e-3)) + left[:, None]  # stays so for an end that was never learned
             at = np.array([i for i, w in enumerate(words) if w != _END], np.int64)
             for rows, b in by_length([words[i][1:] for i in at]) if len(at) else ():
-                lp[:, at[rows]] = forward(p.arcs(b), logp)[-1] + left[:, None]
+                arcs = p.arcs(b)
+                if len(b) > LONG:
+                    got = np.array([[long_forward(arcs, logp[k], i)[-1] for i in range(len(rows))] for k in range(kinds)])
+                else:
+                    got = forward(arcs, logp)[-1]
+                lp[:, at[rows]] = got + left[:, None]
             lp = np.logaddexp(lp, whole) / np.log(10)
             raw = [w[1:] for w in words]
             n = np.array([len(w) for w in raw], np.int64)
