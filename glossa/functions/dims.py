@@ -27,12 +27,12 @@ def coordinates(separator: tuple[int, int] | None = None) -> dict[str, tuple[int
 # Morph codes in the order of their numbers.
 MORPH_CODES = "BASE PLURAL PAST_TENSE PRESENT_PART PAST_PART THIRD_SING COMPARATIVE SUPERLATIVE ADVERBIAL NEGATION AGENT NOMINALIZE IRREGULAR".split()
 # Root and irregular past.
-IRREGULAR = dict(
-    x.split(":")
-    for x in (
-        "be:was begin:began break:broke come:came do:did drive:drove eat:ate get:got give:gave go:went have:had leave:left make:made run:ran say:said swim:swam see:saw sit:sat speak:spoke take:took write:wrote"
-    ).split()
-)
+IRREGULAR = {
+    "be": "was", "begin": "began", "break": "broke", "come": "came", "do": "did", "drive": "drove",
+    "eat": "ate", "get": "got", "give": "gave", "go": "went", "have": "had", "leave": "left",
+    "make": "made", "run": "ran", "say": "said", "swim": "swam", "see": "saw", "sit": "sat",
+    "speak": "spoke", "take": "took", "write": "wrote",
+}
 # Words that are their own root and stay as they are.
 IDENTITY = (
     "are were been me him her us them my his its our their your myself himself herself itself ourselves themselves yourself yourselves "

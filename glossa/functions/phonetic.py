@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glossa.functions.dims import UNKNOWN, coordinates
 
 _HOLE = "\u0001"
+NOT_KNOWN = "[^" + "".join("\\" + x if not x.isalnum() else x for x in coordinates()) + "]"
 
 
 def _translated(c: Column, at: int, base: int) -> Column:
     """Each character as chr(base + class) or chr(base + place)."""
     table = coordinates()
     known = "".join(table)
-    c = F.regexp_replace(F.lower(c), "[^" + "".join("\\" + x if not x.isalnum() else x for x in known) + "]", _HOLE)
+    c = F.regexp_replace(F.lower(c), NOT_KNOWN, _HOLE)
     return F.translate(c, known + _HOLE, "".join(chr(base + v[at]) for v in table.values()) + chr(base + UNKNOWN[at]))
 
 
@@ -50,8 +53,13 @@ def deltas(a: Column) -> Column:
 
 
 def running_sums(a: Column) -> Column:
-    """The inverse of deltas."""
-    return F.aggregate(a, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
+    """The inverse of deltas, in Arrow batches: a fold as an expression would copy the array at each step."""
+
+    @F.pandas_udf("array<int>")
+    def sums(v: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else np.cumsum(np.asarray(x, np.int64)) for x in v], dtype="object")
+
+    return sums(a)
 
 
 def factoradic(v: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,6 +45,7 @@ def capitalised(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))
 
 
+# Spacing repairs in their order.
 _FIXES = (
     (r'" +([a-z])', r'"$1'),
     (r'(?U)(\w) "([,.!?;:])', r'$1"$2'),
@@ -59,7 +61,7 @@ _FIXES = (
 
 
 def autocorrected(c: Column) -> Column:
-    """Spacing repairs in their fixed order; a row of three stars is left alone."""
+    """Spacing repairs in their fixed order; a row of three stars is left alone; null stays null."""
     hidden = "\u0001"
     c = F.replace(c, F.lit("* * *"), F.lit(hidden))
     for pattern, to in _FIXES:
@@ -67,25 +69,34 @@ def autocorrected(c: Column) -> Column:
     return strip(F.replace(c, F.lit(hidden), F.lit("* * *")))
 
 
-def joined_words(ws: Column) -> Column:
+def detokenised(ws: list[str]) -> str:
     """Words to running text: closing signs stick to the left, opening ones to the right, a double quote
     opens after ! ? ( — or a blank and else closes."""
+    out: list[str] = []
+    last = ""  # the last character so far
+    for w in filter(None, ws):
+        star, quote = w == "*", w[0] == '"'
+        held = bool(out) and last in _OPENING and not star  # what stands before takes any word
+        piece = '"' if quote and out and not held else w
+        glue = last == "*" if star else held or (last not in _BEFORE_QUOTE if quote else w[0] in _CLOSING)
+        out.append(piece if glue or not out else " " + piece)
+        last = piece[-1]
+    line = "".join(out)
+    for a, b in _TIGHT:
+        line = line.replace(a, b)
+    return line.strip()
+
+
+# Signs that glue the next word, signs that glue to the word before, signs before an opening quote, and pairs made tight.
+_OPENING, _CLOSING, _BEFORE_QUOTE = "-/($#", ".,;:!?)'-—%/", "!?(— "
+_TIGHT = (("( ", "("), (" )", ")"), ("[ ", "["), (" ]", "]"), (" — ", "—"))
+
+
+def joined_words(ws: Column) -> Column:
+    """detokenised() of arrays, in Arrow batches: a fold as an expression would copy the text at each word."""
+
+    @F.pandas_udf("string")
+    def joined(words: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else detokenised(x) for x in words], dtype="object")
 
-    def step(out: Column, w: Column) -> Column:
-        last, first = F.right(out, F.lit(1)), F.left(w, F.lit(1))
-        glue, space = F.concat(out, w), F.concat(out, F.lit(" "), w)
-        return (
-            F.when(w == "", out)
-            .when(w == "*", F.when(last == "*", glue).otherwise(space))
-            .when(last.isin("-", "/"), glue)
-            .when(last.isin("(", "$", "#"), glue)
-            .when(first == '"', F.when(last.isin("!", "?", "(", "—", " ") | (out == ""), F.concat(out, F.lit(' "'))).otherwise(F.concat(out, F.lit('"'))))
-            .when(first.isin(*".,;:!?)'-—%/"), glue)
-            .otherwise(space)
-        )
-
-    head, tail = F.element_at(ws, 1), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0)))
-    out = F.when(F.size(ws) == 0, F.lit("")).otherwise(F.aggregate(tail, head, step))
-    for a, b in (("( ", "("), (" )", ")"), ("[ ", "["), (" ]", "]"), (" — ", "—")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return strip(out)
+    return joined(ws)

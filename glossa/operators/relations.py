@@ -5,6 +5,10 @@ its document, so explosion keeps rows small."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ from glossa.functions import morph, phonetic, text
 from glossa.functions.dims import TAG_SUFFIXES, TAGGER
 
 _CUT = 500_000
+_SENTENCE_END = re.compile(r"(?<=[.!?])(?<!\s)(?=\s)", re.ASCII)
 
 
 def spread(docs: DataFrame) -> DataFrame:
@@ -50,24 +55,36 @@ def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(text.sentences(text.normalised(F.col("text")))).alias("sent_id", "sentence"))
 
 
+def cut_points(lengths: list[int], size: int) -> list[int]:
+    """How many of the pieces each chunk takes: as many as fit in size, one at least."""
+    out, total, n = [], 0, 0
+    for k in lengths:
+        if n and total and total + k > size:
+            out.append(n)
+            total, n = 0, 0
+        total, n = total + k, n + 1
+    return [*out, n] if n else out
+
+
 def sentence_chunks(docs: DataFrame, size: int = 3000) -> DataFrame:
     """(doc_id, chunk_id, chunk_offset, chunk): whole sentences (cut after . ! ? and white space), as many
-    as fit in size characters, one at least."""
-    pieces = F.split("text", r"(?<=[.!?])(?<!\s)(?=\s)")
-    # each piece keeps its leading white space, so pieces add up to the text
-
-    def step(acc: Column, p: Column) -> Column:
-        cur = F.element_at(acc, -1)
-        grown = F.concat(cur, p)
-        fresh = F.concat(acc, F.array(p))
-        return F.when((F.length(cur) > 0) & (F.length(grown) > size), fresh).otherwise(F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown)))
+    as fit in size characters, one at least. A null or empty text is one empty chunk."""
 
-    parts = F.aggregate(pieces, F.array(F.lit("")), step)
-    rows = docs.select("doc_id", F.posexplode(parts).alias("chunk_id", "chunk"))
-    from pyspark.sql import Window
+    @F.pandas_udf("array<struct<chunk_offset:int,chunk:string>>")
+    def chunked(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            # each piece keeps its leading white space, so pieces add up to the text
+            pieces = [p for p in _SENTENCE_END.split(t) if p] or [""]
+            at, k, rows = 0, 0, []
+            for n in cut_points([len(p) for p in pieces], size):
+                rows.append({"chunk_offset": at, "chunk": "".join(pieces[k : k + n])})
+                at, k = at + len(rows[-1]["chunk"]), k + n
+            out.append(rows)
+        return pd.Series(out)
 
-    before = Window.partitionBy("doc_id").orderBy("chunk_id").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("doc_id", "chunk_id", F.coalesce(F.sum(F.length("chunk")).over(before), F.lit(0)).alias("chunk_offset"), "chunk")
+    rows = docs.select("doc_id", F.posexplode(chunked(F.coalesce("text", F.lit("")))).alias("chunk_id", "c"))
+    return rows.select("doc_id", "chunk_id", "c.chunk_offset", "c.chunk")
 
 
 def bare(word: Column) -> Column:
@@ -77,7 +94,7 @@ def bare(word: Column) -> Column:
 
 def tagged(word: Column, first: Column) -> Column:
     """Default tag of a word: closed lists, digits, suffixes, capitals; else NOUN. A tagging model can
-    take its place as a pandas_udf of the same two columns."""
+    take its place (see retagged)."""
     w = bare(word)
     c = F.when(w == "", "PUNCT").when(w.rlike("^[0-9]+([.,][0-9]+)*$"), "NUM")
     for tag, ws in TAGGER.items():
@@ -87,12 +104,28 @@ def tagged(word: Column, first: Column) -> Column:
     return c.when(~first & word.rlike(r"^[^\p{L}\p{N}]*\p{Lu}"), "PROPN").otherwise("NOUN")
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, sent_id, tok_id, n_tok, word, root, code, tag)."""
+def tokens(docs: DataFrame, tagger: Callable[[], Callable[[list[list[str]]], list[list[str]]]] | None = None) -> DataFrame:
+    """(doc_id, sent_id, tok_id, n_tok, word, root, code, tag). tagger: see retagged()."""
     s = sentences(docs).withColumn("ws", text.words(F.col("sentence")))
     t = s.select("doc_id", "sent_id", F.size("ws").alias("n_tok"), F.posexplode("ws").alias("tok_id", "word"))
     t = t.withColumn("m", morph.analysed(F.col("word")))
-    return t.select("doc_id", "sent_id", "tok_id", "n_tok", "word", F.col("m.root").alias("root"), F.col("m.code").alias("code"), tagged(F.col("word"), F.col("tok_id") == 0).alias("tag"))
+    t = t.select("doc_id", "sent_id", "tok_id", "n_tok", "word", F.col("m.root").alias("root"), F.col("m.code").alias("code"), tagged(F.col("word"), F.col("tok_id") == 0).alias("tag"))
+    return retagged(t, tagger) if tagger else t
+
+
+def retagged(toks: DataFrame, make: Callable[[], Callable[[list[list[str]]], list[list[str]]]]) -> DataFrame:
+    """Tokens with the tags of a model: make() loads it, once a task; it then takes sentences (lists of words)
+    and gives their tags. Sentences go to it whole, a batch at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for b in batches:
+            b["r"] = [[{**x, "tag": t} for x, t in zip(r, tags, strict=True)] for r, tags in zip(b["r"], model([[x["word"] for x in r] for r in b["r"]]), strict=True)]
+            yield b
+
+    names = ["tok_id", "word", "root", "code", "tag"]
+    s = toks.groupBy("doc_id", "sent_id", "n_tok").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("r"))
+    return s.mapInPandas(run, s.schema).select("doc_id", "sent_id", "n_tok", F.explode("r").alias("x")).select("doc_id", "sent_id", "x.tok_id", "n_tok", *(f"x.{c}" for c in names[1:]))
 
 
 def pairs(toks: DataFrame) -> DataFrame:

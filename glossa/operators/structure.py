@@ -106,11 +106,12 @@ def noun_phrases(toks: DataFrame) -> DataFrame:
     code = {t: chr(97 + i) for i, t in enumerate(POS_TAGS)}
     pattern = f"{code['DET']}?[{code['ADJ']}{code['NUM']}]*[{code['NOUN']}{code['PROPN']}]+"
     s = s.withColumn("line", F.array_join(F.transform("r", lambda x: letter[x["tag"]]), ""))
-    found = s.withColumn("marked", F.split(F.regexp_replace("line", f"({pattern})", "|$1|"), "")).select("doc_id", "sent_id", F.regexp_extract_all("line", F.lit(f"({pattern})"), F.lit(1)).alias("np"), F.split("line", pattern).alias("gap"))
-    rows = found.select("doc_id", "sent_id", "gap", "np", F.posexplode("np").alias("k", "run"))
-    ahead = F.aggregate(F.transform(F.slice("gap", F.lit(1), F.col("k") + 1), F.length), F.lit(0), lambda a, x: a + x)
-    inner = F.aggregate(F.transform(F.slice("np", F.lit(1), F.col("k")), F.length), F.lit(0), lambda a, x: a + x)
-    return rows.select("doc_id", "sent_id", (ahead + inner).alias("start"), (ahead + inner + F.length("run") - 1).alias("end"), F.lit("NP").alias("label"))
+    found = s.select("doc_id", "sent_id", F.regexp_extract_all("line", F.lit(f"({pattern})"), F.lit(1)).alias("np"), F.split("line", pattern).alias("gap"))
+    rows = found.select("doc_id", "sent_id", F.posexplode(F.arrays_zip(F.col("gap").alias("gap"), F.col("np").alias("np"))).alias("k", "x")).where("x.np is not null")
+    before = Window.partitionBy("doc_id", "sent_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.sum(F.length("x.gap") + F.length("x.np")).over(before)
+    rows = rows.select("doc_id", "sent_id", end.alias("stop"), F.length("x.np").alias("n"))
+    return rows.select("doc_id", "sent_id", (F.col("stop") - F.col("n")).alias("start"), (F.col("stop") - 1).alias("end"), F.lit("NP").alias("label"))
 
 
 def pos_frequencies(toks: DataFrame) -> DataFrame:
@@ -172,16 +173,26 @@ def decoded_tags(bits: str, book: dict[str, str]) -> list[str]:
 
 
 def huffman_summary(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_sentences, n_tags, n_symbols, huffman_bits, flat_bits, saved_bits, bits_per_tag)."""
-    t = tokens(docs)
-    f = pos_frequencies(t)
-    codes = huffman_codes(f)
-    total = codes.groupBy("doc_id").agg(F.sum(F.col("n") * F.length("bits")).alias("huffman_bits"), F.sum("n").alias("n_tags"), F.count("*").alias("n_symbols"))
-    s = t.groupBy("doc_id").agg(F.count_distinct("sent_id").alias("n_sentences"))
+    """(doc_id, n_sentences, n_tags, n_symbols, huffman_bits, flat_bits, saved_bits, bits_per_tag), from one
+    count of tags a sentence."""
+    t = tokens(docs).groupBy("doc_id", "sent_id", "tag").agg(F.count("*").alias("n"), F.min("tok_id").alias("tok_id"))
+    f = t.groupBy("doc_id", "tag").agg(F.sum("n").alias("n"), F.min(F.struct("sent_id", "tok_id")).alias("first"), F.collect_set("sent_id").alias("in"))
+    books = f.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "tag", "n"))).alias("r"), F.size(F.array_distinct(F.flatten(F.collect_list("in")))).alias("n_sentences"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for d, n_sentences, tags, ns in b.itertuples(index=False):
+                counts = list(zip(tags, (int(n) for n in ns), strict=True))
+                book = huffman(counts)
+                rows.append((d, n_sentences, sum(n for _, n in counts), len(counts), sum(n * len(book[t]) for t, n in counts)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_sentences", "n_tags", "n_symbols", "huffman_bits"])
+
+    rows = books.select("doc_id", F.col("n_sentences").cast("long"), F.col("r.tag").alias("tags"), F.col("r.n").alias("ns"))
+    total = rows.mapInPandas(run, "doc_id long, n_sentences long, n_tags long, n_symbols long, huffman_bits long")
     flat = F.col("n_tags") * F.when(F.col("n_symbols") > 1, F.ceil(F.log2("n_symbols"))).otherwise(1)
-    return total.join(s, "doc_id").select(
-        "doc_id", "n_sentences", "n_tags", "n_symbols", "huffman_bits", flat.cast("long").alias("flat_bits"),
-        (flat - F.col("huffman_bits")).cast("long").alias("saved_bits"), F.round(F.col("huffman_bits") / F.col("n_tags"), 6).alias("bits_per_tag"),
+    return total.select(
+        "*", flat.cast("long").alias("flat_bits"), (flat - F.col("huffman_bits")).cast("long").alias("saved_bits"), F.round(F.col("huffman_bits") / F.col("n_tags"), 6).alias("bits_per_tag"),
     )
 
 
