@@ -1,20 +1,30 @@
-"""Entropy coders: arithmetic coding by mixed contexts or by integer counts, and rANS; bits in and out.
+"""Entropy coders: arithmetic coding by mixed contexts or by integer counts, and rANS; bits in and out; and the
+archive that holds a whole document.
 
 The state of a coder is sequential within one stream, so a document's streams are coded by one Arrow
-row; documents are coded in parallel. Cumulative tables are integers, so both sides agree exactly."""
+row; documents are coded in parallel. Cumulative tables are integers, so both sides agree exactly. Bits
+that a step settles are put out together, which gives the same stream as putting them one by one."""
 
 from __future__ import annotations
 
 import json
+import struct
 from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.operators.model import distributions, joint
-from glossa.operators.relations import pairs, tokens
+from glossa.functions import phonetic, text
+from glossa.functions.dims import POS_TAGS
+from glossa.functions.morph import applied
+from glossa.operators import streams
+from glossa.operators.relations import tokens
+from glossa.operators.structure import decoded_tags
 
 WIDTH, SCALE = 32, 1 << 16
 TOP, HALF, QUARTER = (1 << WIDTH) - 1, 1 << (WIDTH - 1), 1 << (WIDTH - 2)
@@ -24,28 +34,39 @@ class BitWriter:
     """Most significant bit first; the last byte is filled with zeros."""
 
     def __init__(self) -> None:
-        self.bits: list[int] = []
+        self.parts: list[str] = []
 
-    def put(self, bit: int, after: int = 0) -> None:
-        self.bits.append(bit)
-        self.bits += [1 - bit] * after
+    def put(self, bits: str, after: int = 0) -> None:
+        """Bits, and after the first of them so many of the other kind."""
+        self.parts.append(bits[0] + ("0" if bits[0] == "1" else "1") * after + bits[1:] if after else bits)
 
     def data(self) -> bytes:
-        n = len(self.bits)
-        whole = self.bits + [0] * (-n % 8)
-        return int("".join(map(str, whole)) or "0", 2).to_bytes(len(whole) // 8, "big")
+        return packed_bits("".join(self.parts))
+
+
+def packed_bits(bits: str) -> bytes:
+    whole = bits + "0" * (-len(bits) % 8)
+    return np.packbits(np.frombuffer(whole.encode(), np.uint8) - 48).tobytes()
+
+
+def unpacked_bits(data: bytes) -> str:
+    return (np.unpackbits(np.frombuffer(data, np.uint8)) + 48).tobytes().decode()
 
 
 class BitReader:
     """Zeros past the end."""
 
     def __init__(self, data: bytes):
-        self.data, self.at = data, 0
+        self.data, self.at, self.held, self.n = data, 0, 0, 0
 
-    def get(self) -> int:
-        byte, k = divmod(self.at, 8)
-        self.at += 1
-        return self.data[byte] >> (7 - k) & 1 if byte < len(self.data) else 0
+    def get(self, k: int = 1) -> int:
+        while self.n < k:
+            self.held = self.held << 8 | (self.data[self.at] if self.at < len(self.data) else 0)
+            self.at, self.n = self.at + 1, self.n + 8
+        self.n -= k
+        out = self.held >> self.n
+        self.held &= (1 << self.n) - 1
+        return out
 
 
 Table = tuple[list, list[int]]  # symbols, cumulative counts from 0
@@ -69,70 +90,97 @@ def count_table(counts: dict) -> Table:
     return symbols, cum
 
 
-def encode(symbols: Sequence, table: Callable[[int], Table]) -> bytes:
-    """Arithmetic code of symbols; table(i) may depend on symbols before i. A symbol that its table lacks
-    raises KeyError."""
+def encode_ranges(ranges: Iterator[tuple[int, int, int]]) -> bytes:
+    """Arithmetic code of (lowest, highest + 1, total) counts."""
     low, high, waiting, out = 0, TOP, 0, BitWriter()
-    for i, s in enumerate(symbols):
-        names, cum = table(i)
-        try:
-            k = names.index(s)
-        except ValueError:
-            raise KeyError(s) from None
+    for a, b, total in ranges:
         span = high - low + 1
-        low, high = low + span * cum[k] // cum[-1], low + span * cum[k + 1] // cum[-1] - 1
-        while True:
-            if high < HALF:
-                out.put(0, waiting)
-                waiting = 0
-            elif low >= HALF:
-                out.put(1, waiting)
-                waiting = 0
-                low, high = low - HALF, high - HALF
-            elif low >= QUARTER and high < HALF + QUARTER:
-                waiting += 1
-                low, high = low - QUARTER, high - QUARTER
-            else:
-                break
-            low, high = low << 1, high << 1 | 1
-    out.put(1 if low >= QUARTER else 0, waiting + 1)
+        low, high = low + span * a // total, low + span * b // total - 1
+        k = WIDTH - (low ^ high).bit_length()
+        if k:
+            out.put(format(low >> (WIDTH - k), f"0{k}b"), waiting)
+            waiting = 0
+            low, high = low << k & TOP, high << k & TOP | (1 << k) - 1
+        k = WIDTH - 1 - (~(low & ~high) & HALF - 1).bit_length()  # a low of 01.. against a high of 10..
+        if k:
+            waiting += k
+            low, high = low << k & HALF - 1, high << k & HALF - 1 | HALF | (1 << k) - 1
+    out.put("1" if low >= QUARTER else "0", waiting + 1)
     return out.data()
 
 
+def decode_ranges(data: bytes, n: int, cumulative: Callable[[int], list[int]], put: Callable[[int], None]) -> None:
+    """The inverse: cumulative(i) gives the counts for the i-th symbol, put takes its number."""
+    bits = BitReader(data)
+    low, high, code = 0, TOP, bits.get(WIDTH)
+    for i in range(n):
+        cum = cumulative(i)
+        total, span = cum[-1], high - low + 1
+        s = bisect_right(cum, ((code - low + 1) * total - 1) // span) - 1
+        put(s)
+        low, high = low + span * cum[s] // total, low + span * cum[s + 1] // total - 1
+        k = WIDTH - (low ^ high).bit_length()
+        if k:
+            low, high, code = low << k & TOP, high << k & TOP | (1 << k) - 1, code << k & TOP | bits.get(k)
+        k = WIDTH - 1 - (~(low & ~high) & HALF - 1).bit_length()
+        if k:
+            for _ in range(k):  # the second bit goes
+                code = (code - QUARTER) << 1 | bits.get()
+            low, high = low << k & HALF - 1, high << k & HALF - 1 | HALF | (1 << k) - 1
+
+
+def encode(symbols: Sequence, table: Callable[[int], Table]) -> bytes:
+    """Arithmetic code of symbols; table(i) may depend on symbols before i. A symbol that its table lacks
+    raises KeyError."""
+
+    def ranges() -> Iterator[tuple[int, int, int]]:
+        for i, s in enumerate(symbols):
+            names, cum = table(i)
+            try:
+                k = names.index(s)
+            except ValueError:
+                raise KeyError(s) from None
+            yield cum[k], cum[k + 1], cum[-1]
+
+    return encode_ranges(ranges())
+
+
 def decode(data: bytes, n: int, table: Callable[[list], Table]) -> list:
     """The inverse: table(symbols so far)."""
-    bits = BitReader(data)
-    low, high, code = 0, TOP, 0
-    for _ in range(WIDTH):
-        code = code << 1 | bits.get()
     out: list = []
-    for _ in range(n):
-        names, cum = table(out)
-        span = high - low + 1
-        k = bisect_right(cum, ((code - low + 1) * cum[-1] - 1) // span) - 1
-        out.append(names[k])
-        low, high = low + span * cum[k] // cum[-1], low + span * cum[k + 1] // cum[-1] - 1
-        while True:
-            if high < HALF:
-                pass
-            elif low >= HALF:
-                low, high, code = low - HALF, high - HALF, code - HALF
-            elif low >= QUARTER and high < HALF + QUARTER:
-                low, high, code = low - QUARTER, high - QUARTER, code - QUARTER
-            else:
-                break
-            low, high, code = low << 1, high << 1 | 1, code << 1 | bits.get()
+    now: list = []
+
+    def cumulative(_: int) -> list[int]:
+        now[:] = table(out)
+        return now[1]
+
+    decode_ranges(data, n, cumulative, lambda s: out.append(now[0][s]))
     return out
 
 
+def encode_counts(symbols: np.ndarray, n_values: int) -> tuple[bytes, np.ndarray]:
+    """Code of small whole numbers by their own counts, and the counts."""
+    n = np.bincount(symbols, minlength=n_values)
+    cum = np.append(0, np.cumsum(n))
+    total = len(symbols)
+    return encode_ranges((a, b, total) for a, b in zip(cum[symbols].tolist(), cum[symbols + 1].tolist(), strict=True)), n
+
+
+def decode_counts(data: bytes, n: np.ndarray) -> np.ndarray:
+    cum = np.append(0, np.cumsum(n)).tolist()
+    out: list[int] = []
+    decode_ranges(data, cum[-1], lambda _: cum, out.append)
+    return np.array(out, np.int64)
+
+
 def quantised(p: dict, total: int = 4096) -> dict:
     """Counts that add up to total (a power of two): rounded, 1 at least; what is missing goes to the most
-    probable symbols, one each, what is too much comes off the least probable over 1, the rest off or on
-    the most probable."""
+    probable symbols, one each, what is too much comes off the least probable over 1 (of equal ones the smaller
+    first), the rest off or on the most probable."""
     n = {s: max(1, round(v * total)) for s, v in p.items()}
     ranked = sorted(p, key=lambda s: (-p[s], s))
     gap = total - sum(n.values())
-    for s in ranked if gap > 0 else ranked[::-1]:
+    for s in ranked if gap > 0 else sorted(p, key=lambda s: (p[s], s)):
         if not gap:
             break
         step = 1 if gap > 0 else -1
@@ -176,97 +224,331 @@ def read_archive(data: bytes) -> tuple[dict[str, int], bytes]:
     return json.loads(data[4 : 4 + n]), data[4 + n :]
 
 
-def class_streams(docs: DataFrame) -> DataFrame:
-    """(doc_id, classes, contexts, tables): the class stream in order, each character's context number and
-    the document's integer tables, one a distinct context (prev is known to the decoder, so tables are
-    numbered by code and tag and hold a row for each prev)."""
-    p = pairs(tokens(docs))
-    j = joint(p)
-    p1, p2, p3 = distributions(j)
-    share = j.groupBy("doc_id").agg((1.0 / F.count_distinct("tok_tag")).alias("sp"))
-    seen = j.select("doc_id", "code", "tag").distinct()
-    mixed = seen.join(p1.select("doc_id", "prev", "cls", "p1"), "doc_id").join(p2, ["doc_id", "code", "cls"]).join(p3, ["doc_id", "tag", "cls"]).join(share, "doc_id")
-    mixed = mixed.select("doc_id", "code", "tag", "prev", "cls", ((F.col("p1") + F.col("p2") + F.col("sp") * F.col("p3")) / (2 + F.col("sp"))).alias("p"))
-    tables = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("code", "tag", "prev", "cls", "p")).alias("tables"))
-    rows = p.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent_id", "tok_id", "i", "cls", "code", "tag"))).alias("r"))
-    return rows.join(tables, "doc_id").select("doc_id", F.col("r.cls").alias("classes"), F.col("r.code").alias("codes"), F.col("r.tag").alias("tags"), "tables")
+class Contexts:
+    """Integer tables of a document's class stream: one for each sentence's share, code, tag and class before,
+    made alike at both ends from the layout and the model."""
 
+    def __init__(self, lay: streams.Layout, model: streams.Model, weights: tuple, by_huffman: bool = True):
+        share = streams.sentence_shares(lay, model, by_huffman)
+        _, at = np.unique(share, return_inverse=True)
+        key = (at * streams.CODES + lay.code) * streams.TAGS + lay.tag
+        _, first, self.group = np.unique(key, return_index=True, return_inverse=True)
+        rows = np.repeat(first, streams.CLASSES)
+        prev = np.tile(np.arange(streams.CLASSES), len(first))
+        p = model.mixed(prev, lay.code[rows], lay.tag[rows], share[rows], weights)
+        n = np.where(model.seen, np.maximum(1, np.rint(p * SCALE)), 0).astype(np.int64)
+        self.cum = np.concatenate([np.zeros((len(n), 1), np.int64), np.cumsum(n, 1)], 1)
 
-def _tables(rows: list) -> dict[tuple, Table]:
-    p: dict[tuple, dict[int, float]] = {}
-    for r in rows:
-        p.setdefault((r["code"], r["tag"], r["prev"]), {})[r["cls"]] = r["p"]
-    return {k: integer_table(v) for k, v in p.items()}
+    def encode(self, cls: np.ndarray, prev: np.ndarray) -> bytes:
+        row = self.group * streams.CLASSES + prev
+        a, b, total = self.cum[row, cls], self.cum[row, cls + 1], self.cum[row, -1]
+        return encode_ranges(zip(a.tolist(), b.tolist(), total.tolist(), strict=True))
 
+    def decode(self, data: bytes) -> np.ndarray:
+        cum, base = self.cum.tolist(), (self.group * streams.CLASSES).tolist()
+        out: list[int] = []
+        decode_ranges(data, len(base), lambda i: cum[base[i] + (out[-1] if i else 0)], out.append)
+        return np.array(out, np.int64)
 
-def arithmetic_round_trip(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_symbols, n_bytes, ok): the class stream coded by mixed contexts, and decoded. A class
-    before which the model knows nothing (a first character's 0) is coded evenly."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for d, classes, codes, tags, rows in b.itertuples(index=False):
-                tables = _tables(rows)
-                classes, codes, tags = [int(c) for c in classes], list(codes), list(tags)
-                even = integer_table(dict.fromkeys(range(7), 1.0))
-                data = encode(classes, lambda i: tables.get((codes[i], tags[i], classes[i - 1] if i else 0), even))
-                back = decode(data, len(classes), lambda so: tables.get((codes[len(so)], tags[len(so)], so[-1] if so else 0), even))
-                out.append((d, len(classes), len(data), back == classes))
-            yield pd.DataFrame(out, columns=["doc_id", "n_symbols", "n_bytes", "ok"])
+def _trained(m: streams.Marked) -> tuple[streams.Model, tuple]:
+    model = streams.Model(*m.counts())
+    return model, streams.fold(streams.winners(m, model))
+
 
-    return class_streams(docs).mapInPandas(run, "doc_id long, n_symbols long, n_bytes long, ok boolean")
+def arithmetic_round_trip(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_symbols, n_bytes, ok, near_ideal): the class stream of each document with words, coded by
+    mixed contexts, and decoded; near_ideal: whether the code is at most 2% and 64 bits longer than the
+    model's code length, and not shorter by more."""
 
+    def one(m: streams.Marked, *_) -> tuple:
+        model, w = _trained(m)
+        c = Contexts(m, model, w)
+        data = c.encode(m.cls, m.prev)
+        ideal = streams.bits(m, model, w, True)
+        return len(m), len(data), bool((c.decode(data) == m.cls).all()), abs(8 * len(data) - ideal) <= 64 + 0.02 * ideal
 
-def symbol_streams(docs: DataFrame) -> DataFrame:
-    """(doc_id, stream array<int>): class of each character of the first pass, in order."""
-    p = pairs(tokens(docs)).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent_id", "tok_id", "i", "cls"))).alias("r"))
-    return p.select("doc_id", F.col("r.cls").alias("stream"))
+    rows = streams.token_rows(docs).where("r is not null")
+    return streams.per_document(rows, "n_symbols long, n_bytes long, ok boolean, near_ideal boolean", one)
 
 
 def counts_round_trip(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_symbols, n_bytes, ok): coded by the document's own integer counts."""
+    """(doc_id, n_symbols, n_bytes, ok, near_ideal): the same by the document's own integer counts."""
+
+    def one(m: streams.Marked, *_) -> tuple:
+        data, n = encode_counts(m.cls, streams.CLASSES)
+        p = n[n > 0] / n.sum()
+        ideal = float(-(n[n > 0] * np.log2(p)).sum())
+        return len(m), len(data), bool((decode_counts(data, n) == m.cls).all()), abs(8 * len(data) - ideal) <= 64
+
+    rows = streams.token_rows(docs).where("r is not null")
+    return streams.per_document(rows, "n_symbols long, n_bytes long, ok boolean, near_ideal boolean", one)
+
+
+def rans_round_trip(docs: DataFrame, piece: int = 4096) -> DataFrame:
+    """(doc_id, n_symbols, n_bytes, ok, near_ideal): streams are cut into pieces of `piece` symbols, so that the
+    integer state stays short and the work linear; near_ideal: within 2 bytes a piece and 64 bits of what the
+    quantised table gives."""
+
+    def one(m: streams.Marked, *_) -> tuple:
+        s = m.cls.tolist()
+        n = np.bincount(m.cls, minlength=streams.CLASSES)
+        p = {k: v / len(s) for k, v in enumerate(n.tolist()) if v}
+        parts = [s[i : i + piece] for i in range(0, len(s), piece)]
+        data = [rans_encode(x, p) for x in parts]
+        back = [y for x, e in zip(parts, data, strict=True) for y in rans_decode(e, len(x), p)]
+        ideal = -sum(n[k] * np.log2(v / 4096) for k, v in quantised(p).items())
+        size = sum(map(len, data))
+        return len(s), size, back == s, bool(abs(8 * size - ideal) <= 64 + 16 * len(parts))
+
+    rows = streams.token_rows(docs).where("r is not null")
+    return streams.per_document(rows, "n_symbols long, n_bytes long, ok boolean, near_ideal boolean", one)
+
+
+def vlq(values: Sequence[int]) -> bytes:
+    """Whole numbers from 0 in base 128, highest digit first, the top bit set where more digits follow."""
+    v = np.asarray(values, np.int64)
+    n = 1 + sum((v >> 7 * i > 0).astype(np.int64) for i in range(1, 9))
+    end = np.cumsum(n)
+    out = np.zeros(int(n.sum()), np.uint8)
+    for i in range(int(n.max(initial=0))):
+        has = n > i
+        out[end[has] - 1 - i] = v[has] >> 7 * i & 127 | (128 if i else 0)
+    return out.tobytes()
+
+
+def from_vlq(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8).astype(np.int64)
+    stop = np.flatnonzero(b < 128)
+    if not len(stop):
+        return np.zeros(0, np.int64)
+    last = np.searchsorted(stop, np.arange(len(b)))
+    return np.add.reduceat((b & 127) << 7 * (stop[last] - np.arange(len(b))), np.append(0, stop[:-1] + 1))
+
+
+def zigzag(v: np.ndarray) -> np.ndarray:
+    """Whole numbers as such from 0."""
+    return np.where(v < 0, -2 * v - 1, 2 * v)
+
+
+def from_zigzag(v: np.ndarray) -> np.ndarray:
+    return np.where(v & 1, -(v + 1) // 2, v // 2)
+
+
+def lz77(values: Sequence[int], longest: int = 255) -> list[int]:
+    """Tag streams as (distance, length, next) triples: the longest earlier match that starts with the same
+    three values, met last; distance 0 where there is none; next is -1 at the end."""
+    out, i, n = [], 0, len(values)
+    met: dict[tuple, int] = {}
+    while i < n:
+        at, k = met.get(tuple(values[i : i + 3]), -1), 0
+        if at >= 0:
+            while k < longest and i + k < n and values[at + k] == values[i + k]:
+                k += 1
+        out += [i - at if k else 0, k, values[i + k] if i + k < n else -1]
+        for j in range(i, min(i + k + 1, n - 2)):
+            met[tuple(values[j : j + 3])] = j
+        i += k + 1
+    return out
+
+
+def from_lz77(triples: Sequence[int]) -> list[int]:
+    out: list[int] = []
+    for d, k, v in zip(triples[::3], triples[1::3], triples[2::3], strict=True):
+        for _ in range(k):
+            out.append(out[-d])
+        if v >= 0:
+            out.append(v)
+    return out
+
+
+def tag_round_trip(tags: DataFrame) -> DataFrame:
+    """(doc_id, tags array<string>) -> (doc_id, n_tags, n_bytes, ok): tag numbers as triples in base 128, and back."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = {t: i for i, t in enumerate(POS_TAGS)}
         for b in batches:
-            out = []
-            for d, s in zip(b["doc_id"], b["stream"], strict=True):
-                s = [int(x) for x in s]
-                counts: dict[int, int] = {}
-                for x in s:
-                    counts[x] = counts.get(x, 0) + 1
-                t = count_table(counts)
-                data = encode(s, lambda i, t=t: t)
-                out.append((d, len(s), len(data), decode(data, len(s), lambda so, t=t: t) == s))
-            yield pd.DataFrame(out, columns=["doc_id", "n_symbols", "n_bytes", "ok"])
+            rows = []
+            for d, ts in zip(b["doc_id"], b["tags"], strict=True):
+                ids = [number[t] for t in ts]
+                data = vlq(zigzag(np.array(lz77(ids), np.int64)))
+                rows.append((d, len(ids), len(data), from_lz77(from_zigzag(from_vlq(data)).tolist()) == ids))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_tags", "n_bytes", "ok"])
 
-    return symbol_streams(docs).mapInPandas(run, "doc_id long, n_symbols long, n_bytes long, ok boolean")
+    return tags.select("doc_id", "tags").mapInPandas(run, "doc_id long, n_tags long, n_bytes long, ok boolean")
 
 
-def rans_round_trip(docs: DataFrame, piece: int = 4096) -> DataFrame:
-    """(doc_id, n_symbols, n_bytes, ok): streams are cut into pieces of `piece` symbols, so that the integer
-    state stays short and the work linear."""
+def _sparse(n: np.ndarray) -> bytes:
+    at = np.flatnonzero(n)
+    return vlq(np.concatenate([np.diff(at, prepend=0), n.reshape(-1)[at]]))
+
+
+def _dense(data: bytes, shape: tuple) -> np.ndarray:
+    v = from_vlq(data)
+    out = np.zeros(int(np.prod(shape)), np.int64)
+    out[np.cumsum(v[: len(v) // 2])] = v[len(v) // 2 :]
+    return out.reshape(shape)
+
+
+def sealed(sections: list[bytes], level: int = 19) -> bytes:
+    """Sections (127 at most) in a zstd frame: their number, their lengths, and they themselves."""
+    return zstandard.ZstdCompressor(level=level).compress(b"".join([vlq([len(sections), *map(len, sections)]), *sections]))
+
+
+def opened(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    at, left = 1, raw[0]
+    while left:
+        left -= raw[at] < 128
+        at += 1
+    out = []
+    for n in from_vlq(raw[1:at]).tolist():
+        out.append(raw[at : at + n])
+        at += n
+    return out
+
+
+def archive(m: streams.Marked, odd: dict[int, str]) -> tuple[bytes, int, int]:
+    """A document's words as sections: sentence and root lengths, codes, tag book and bits, the model's counts
+    and weights, the counts of place deltas, both coded streams, and words that rules don't give back. Also
+    the bytes of the two streams."""
+    model, w = _trained(m)
+    tags, first = np.unique(m.tags, return_index=True)
+    tags = tags[np.argsort(first)]
+    book = streams.book(m.tags)
+    deltas = zigzag(m.deltas())
+    coded, n = encode_counts(deltas, int(deltas.max(initial=0)) + 1)
+    classes = Contexts(m, model, w).encode(m.cls, m.prev)
+    sections = [
+        vlq(np.bincount(np.cumsum(m.first) - 1) if len(m.first) else []), vlq(m.sizes), vlq(m.codes),
+        vlq(np.stack([tags, np.bincount(m.tags, minlength=streams.TAGS)[tags]], 1).reshape(-1)), packed_bits("".join([book[t] for t in m.tags.tolist()])),
+        *(_sparse(x) for x in m.counts()), struct.pack("<3d", *w), _sparse(n), classes, coded,
+        vlq(np.array(sorted(odd), np.int64)), "\n".join([odd[k] for k in sorted(odd)]).encode(),
+    ]
+    return sealed(sections), len(classes), len(coded)
+
+
+def unarchived(data: bytes) -> tuple[list[str], list[int], dict[int, str], list[int]]:
+    """The inverse: roots (without characters that have no coordinates), codes, odd words, and each token's
+    sentence. The model is built from the counts alone, then the streams are decoded with it."""
+    lengths, sizes, codes, table, tag_bits, n1, n2, n3, w, n, classes, coded, keys, words = opened(data)
+    per_sentence, sizes, codes = from_vlq(lengths), from_vlq(sizes), from_vlq(codes)
+    sent = np.repeat(np.arange(len(per_sentence)), per_sentence)
+    pairs = from_vlq(table).reshape(-1, 2)
+    book = streams.book(np.repeat(pairs[:, 0], pairs[:, 1])) if len(pairs) else {}
+    tags = np.array(decoded_tags(unpacked_bits(tag_bits), {k: v for k, v in book.items()})[: len(sizes)], np.int64)
+    lay = streams.Layout(sent, sizes, codes, tags)
+    model = streams.Model(_dense(n1, (streams.CLASSES,) * 2), _dense(n2, (streams.CODES, streams.CLASSES)), _dense(n3, (streams.TAGS, streams.CODES)))
+    cls = Contexts(lay, model, struct.unpack("<3d", w)).decode(classes) if len(lay) else np.zeros(0, np.int64)
+    count = from_vlq(n)
+    place = streams.places(from_zigzag(decode_counts(coded, _dense(n, (int(count[: len(count) // 2].sum()) + 1,)))), lay.opens) if len(lay) else cls
+    points = streams.characters()[cls, place]
+    known = lay.inner & (points > 0)
+    line, size = points[known].tobytes().decode("utf-32-le"), np.bincount(lay.token[known], minlength=len(sizes))
+    end = np.cumsum(size)
+    roots = [line[b - k : b] for k, b in zip(size.tolist(), end.tolist(), strict=True)]
+    odd = dict(zip(from_vlq(keys).tolist(), words.decode().split("\n"), strict=False)) if keys else {}
+    return roots, codes.tolist(), odd, sent.tolist()
+
+
+def known_only(root):
+    """Without characters that have no coordinates: what a decoded stream gives."""
+    return F.regexp_replace(root, phonetic.NOT_KNOWN, "")
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, archive binary, original_bytes, n_words, n_symbols, stream_bytes,
+    archive_bytes long, stream_bits, bpb, payload_bpb, ratio, seconds double, error string): everything that
+    decompressed() needs, and its sizes. A document that fails has its error and no archive; empty texts
+    have null ratios."""
+    import time
+
+    def one(m: streams.Marked, part: pa.Array, size: int) -> tuple:
+        began = time.perf_counter()
+        try:
+            surface = part.field("odd").to_pylist()
+            data, a, b = archive(m, {i: w for i, w in enumerate(surface) if w is not None})
+            model, w = _trained(m)
+            bits, error = streams.bits(m, model, w, True), None
+        except (ArithmeticError, LookupError, ValueError) as e:
+            return None, size, len(part), None, None, None, None, None, None, None, time.perf_counter() - began, str(e)
+        n = len(data)
+        return data, size, len(part), len(m), a + b, n, bits, *((bits / size, 8 * n / size, size / n) if size else (None,) * 3), time.perf_counter() - began, error
+
+    odd = F.when(applied(known_only(F.col("root")), F.col("code")) != F.col("word"), F.col("word"))
+    rows = streams.token_rows(docs, odd.alias("odd"))
+    kinds = "archive binary, original_bytes long, n_words long, n_symbols long, stream_bytes long, archive_bytes long, stream_bits double, bpb double, payload_bpb double, ratio double, seconds double, error string"
+    return streams.per_document(rows, kinds, one)
+
+
+def payload_of(archives: DataFrame) -> DataFrame:
+    """(doc_id, archive) -> (doc_id, roots, codes, exceptions) as payload() has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [unarchived(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p[0] for p in parts], pa.list_(pa.string())), pa.array([p[1] for p in parts], pa.list_(pa.int32())), pa.array([list(p[2].items()) for p in parts], pa.map_(pa.int32(), pa.string()))], ["doc_id", "roots", "codes", "exceptions"])
+
+    a = archives.select("doc_id", "archive").where("archive is not null")
+    return a.mapInArrow(run, f"doc_id {dict(a.dtypes)['doc_id']}, roots array<string>, codes array<int>, exceptions map<int,string>")
+
+
+def decompressed(archives: DataFrame) -> DataFrame:
+    """(doc_id, words, text) from the archives alone: streams decoded, roots inflected, words joined, the first
+    letter capitalised and spacing repaired."""
+    return rebuilt(payload_of(archives))
+
+
+def full_decoded(coded: DataFrame) -> DataFrame:
+    """(doc_id, state binary, n_symbols long, probabilities map<int,double>, lengths map<string,int>) ->
+    (doc_id, text): one rANS stream that holds named streams one after the other, decoded to a sentence. Names
+    in order: tree_shape_ids, sentence_meta, pos_deltas, morph_code_stream, char_class_deltas, char_pos_deltas,
+    char_role_stream; lengths may lack some. Unknown coordinates give a question mark. The text is
+    capitalised and ends as its first meta value says: 1 with ?, 3 with !, else with a full stop."""
+    order = ("tree_shape_ids", "sentence_meta", "pos_deltas", "morph_code_stream", "char_class_deltas", "char_pos_deltas", "char_role_stream")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = streams.characters()
         for b in batches:
             out = []
-            for d, s in zip(b["doc_id"], b["stream"], strict=True):
-                s = [int(x) for x in s]
-                p = {x: s.count(x) / len(s) for x in set(s)}
-                parts = [s[i : i + piece] for i in range(0, len(s), piece)]
-                data = [rans_encode(x, p) for x in parts]
-                back = [y for x, e in zip(parts, data, strict=True) for y in rans_decode(e, len(x), p)]
-                out.append((d, len(s), sum(map(len, data)), back == s))
-            yield pd.DataFrame(out, columns=["doc_id", "n_symbols", "n_bytes", "ok"])
-
-    return symbol_streams(docs).mapInPandas(run, "doc_id long, n_symbols long, n_bytes long, ok boolean")
+            for d, state, n, p, lengths in b.itertuples(index=False):
+                values = rans_decode(state, int(n), dict(p))
+                named, at = {}, 0
+                for name in order:
+                    k = max(0, int(dict(lengths).get(name) or 0))
+                    named[name], at = values[at : at + k], at + k
+                cls, place = (np.cumsum(np.array(named[x], np.int64)) for x in ("char_class_deltas", "char_pos_deltas"))
+                k = min(len(cls), len(place))
+                line = "".join(chr(int(table[c, x]) or 63) if 0 <= c < streams.CLASSES and 0 <= x < 256 else "?" for c, x in zip(cls[:k].tolist(), place[:k].tolist(), strict=True))
+                roots = split_roots(line)
+                codes = (named["morph_code_stream"] + [0] * len(roots))[: len(roots)]
+                out.append((d, roots, codes, int(named["sentence_meta"][0]) if named["sentence_meta"] else 0))
+            yield pd.DataFrame(out, columns=["doc_id", "roots", "codes", "kind"])
+
+    kind = dict(coded.dtypes)["doc_id"]
+    rows = coded.select("doc_id", "state", "n_symbols", "probabilities", "lengths").mapInPandas(run, f"doc_id {kind}, roots array<string>, codes array<int>, kind int")
+    words = F.array_join(F.transform(F.arrays_zip("roots", "codes"), lambda x: applied(x["roots"], x["codes"])), " ")
+    line = text.capitalised(words)
+    end = F.when((F.col("kind") == 1) & ~line.endswith("?"), "?").when((F.col("kind") == 3) & ~line.endswith("!"), "!").when(~line.rlike(r"[.?!]$"), ".").otherwise("")
+    return rows.select("doc_id", F.when(line == "", "").otherwise(F.concat(line, end)).alias("text"))
+
+
+def split_roots(line: str) -> list[str]:
+    """Roots of a stream of characters: ^ starts one, $ ends it, _ is skipped, empty ones are dropped."""
+    out, held = [], ""
+    for c in line:
+        if c == "^":
+            held = ""
+        elif c == "$":
+            out, held = [*out, held] if held else out, ""
+        elif c != "_":
+            held += c
+    return [*out, held] if held else out
 
 
 def payload(docs: DataFrame) -> DataFrame:
     """(doc_id, words, exceptions, ...): what is needed to rebuild a document's words: roots, codes, and the
     surface wherever the rules don't give it back. One row a document; write it as Parquet or JSON."""
-    from glossa.functions.morph import applied
-
     t = tokens(docs)
     back = applied(F.col("root"), F.col("code"))
     w = Window.partitionBy("doc_id").orderBy("sent_id", "tok_id")
@@ -280,9 +562,6 @@ def payload(docs: DataFrame) -> DataFrame:
 
 def rebuilt(pay: DataFrame) -> DataFrame:
     """(doc_id, words, text): the inverse of payload, exact to the word; text is joined and repaired."""
-    from glossa.functions import text
-    from glossa.functions.morph import applied
-
     rows = pay.select("doc_id", "exceptions", F.posexplode(F.arrays_zip("roots", "codes")).alias("k", "x"))
     surface = F.coalesce(F.try_element_at("exceptions", F.col("k")), applied(F.col("x.roots"), F.col("x.codes")))
     words = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("k", surface.alias("w")))).alias("r")).select("doc_id", F.col("r.w").alias("words"))

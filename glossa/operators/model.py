@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.operators import streams
 from glossa.operators.relations import pairs, tokens
-
-RATE, FLOOR = 1e-4, 0.05
+from glossa.operators.streams import FLOOR, RATE
 
 
 def char_context(p: DataFrame) -> DataFrame:
@@ -68,19 +66,28 @@ def distributions(j: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return p1, p2, p3
 
 
+def document_bits(docs: DataFrame, trained: bool = True, by_huffman: bool = True, with_bytes: bool = False) -> DataFrame:
+    """(doc_id, n_symbols, bits, bpb, w_char, w_morph, w_struct): code length of each document's class stream
+    under its own context model, in one pass over its tokens. trained: mixing weights as the document trains
+    them, else equal ones; by_huffman: a sentence's structure is trusted by 2 to the minus its bits per tag,
+    else by 1 / number of tags; with_bytes: also (bytes), the text's size. Documents without words have no symbols: 0 bits, and null bpb where the text
+    is empty."""
+
+    def one(m: streams.Marked, _: pa.Array, size: int) -> tuple:
+        own = streams.Model(*m.counts())
+        w = streams.fold(streams.winners(m, own)) if trained else streams.EVEN
+        bits = streams.bits(m, own, w, by_huffman)
+        return len(m), bits, bits / size if size else None, *w, size
+
+    rows = streams.per_document(streams.token_rows(docs), "n_symbols long, bits double, bpb double, w_char double, w_morph double, w_struct double, bytes long", one)
+    rows = rows if with_bytes else rows.drop("bytes")
+    return rows.withColumns({"bits": F.round("bits", 4), "bpb": F.round("bpb", 4)})
+
+
 def context_bits(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_symbols, bits, bpb) with equal weights, structure weighted by 1 / number of tags. Documents
-    without words have no symbols: 0 bits, and null bpb where the text is empty."""
-    j = joint(pairs(tokens(docs)))
-    p1, p2, p3 = distributions(j)
-    share = j.groupBy("doc_id").agg((1.0 / F.count_distinct("tok_tag")).alias("sp"))
-    s = j.groupBy("doc_id", "prev", "code", "tag", "cls").agg(F.sum("n").alias("n"))
-    s = s.join(p1, ["doc_id", "prev", "cls"]).join(p2, ["doc_id", "code", "cls"]).join(p3, ["doc_id", "tag", "cls"]).join(share, "doc_id")
-    mixed = (F.col("p1") + F.col("p2") + F.col("sp") * F.col("p3")) / (2 + F.col("sp"))
-    bits = s.groupBy("doc_id").agg(F.sum("n").alias("n_symbols"), F.sum(-F.col("n") * F.log2(F.greatest(mixed, F.lit(1e-10)))).alias("bits"))
-    size = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
-    out = size.join(bits, "doc_id", "left").select("doc_id", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), F.coalesce("bits", F.lit(0.0)).alias("bits"), "bytes")
-    return out.select("doc_id", "n_symbols", F.round("bits", 4).alias("bits"), F.round(F.when(F.col("bytes") > 0, F.col("bits") / F.col("bytes")), 4).alias("bpb"))
+    """(doc_id, n_symbols, bits, bpb) with equal weights and structure weighted by 1 / number of tags: the
+    form of document_bits that has SQL."""
+    return document_bits(docs, trained=False, by_huffman=False).select("doc_id", "n_symbols", "bits", "bpb")
 
 
 def unigram_bits(docs: DataFrame) -> DataFrame:
@@ -95,34 +102,12 @@ def unigram_bits(docs: DataFrame) -> DataFrame:
 def best_stream(docs: DataFrame) -> DataFrame:
     """(doc_id, best array<int>): for each character after its sentence's first, in order, which of the
     three distributions gives it most (the first on ties)."""
-    p = pairs(tokens(docs))
-    p1, p2, p3 = distributions(joint(p))
-    rows = p.where(~F.col("opens")).join(p1, ["doc_id", "prev", "cls"]).join(p2, ["doc_id", "code", "cls"]).join(p3, ["doc_id", "tag", "cls"])
-    best = F.when((F.col("p1") >= F.col("p2")) & (F.col("p1") >= F.col("p3")), 0).when(F.col("p2") >= F.col("p3"), 1).otherwise(2)
-    rows = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent_id", "tok_id", "i", best.alias("best")))).alias("r"))
-    return rows.select("doc_id", F.col("r.best").alias("best"))
-
-
-def fold(best: list[int]) -> list[float]:
-    """Weights after nudging the best stream up and the others down, in order."""
-    w = [1 / 3] * 3
-    for b in best:
-        w = [x + RATE if i == b else max(x - RATE / 2, FLOOR) for i, x in enumerate(w)]
-        s = w[0] + w[1] + w[2]
-        w = [x / s for x in w]
-    return w
+    return streams.per_document(streams.token_rows(docs), "best array<int>", lambda m, *_: (streams.winners(m, streams.Model(*m.counts())).tolist(),)).where(F.size("best") > 0)
 
 
 def mixing_weights(docs: DataFrame) -> DataFrame:
-    """(doc_id, w_char, w_morph, w_struct). The order of winners is set-wise; only the fold over one
-    document's winners is sequential, and runs over Arrow batches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            w = [fold(x) for x in b["best"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], **{k: [x[i] for x in w] for i, k in enumerate(("w_char", "w_morph", "w_struct"))}})
-
-    return best_stream(docs).mapInPandas(run, "doc_id long, w_char double, w_morph double, w_struct double")
+    """(doc_id, w_char, w_morph, w_struct) of documents with words."""
+    return document_bits(docs).where("n_symbols > 0").select("doc_id", "w_char", "w_morph", "w_struct")
 
 
 def mixing_weights_native(docs: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions import phonetic, text
-from glossa.operators.model import context_bits
+from glossa.operators import codec
+from glossa.operators.model import document_bits
 from glossa.operators.relations import sentences, tokens
+from glossa.operators.structure import huffman_summary
 
 
 def sample(docs: DataFrame, n: int, max_chars: int = 0, least: int = 100, seed: int = 42) -> DataFrame:
@@ -108,17 +110,37 @@ def factoradic_bits(digits):
     return F.when(digits <= 0, 1.0).otherwise(F.log2(F.factorial(digits.cast("int")).cast("double")))
 
 
+def _summary(b: DataFrame, bits: str, bpb: str, size: str) -> list[Column]:
+    """Mean, population deviation, least, most and pooled value of a ratio of bits to bytes."""
+    return [F.round(f(bpb), 3).alias(f"{name}_{bpb}") for name, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))] + [F.round(F.sum(bits) / F.sum(size), 3).alias(f"pooled_{bpb}")]
+
+
 def corpus_summary(docs: DataFrame) -> DataFrame:
     """One row: documents, mean, population deviation, least, most and pooled bits per byte."""
-    b = context_bits(docs).join(docs.select("doc_id", F.octet_length("text").alias("bytes")), "doc_id").where("bpb is not null")
-    return b.agg(F.count("*").alias("n_docs"), F.round(F.avg("bpb"), 3).alias("mean_bpb"), F.round(F.stddev_pop("bpb"), 3).alias("std_bpb"), F.round(F.min("bpb"), 3).alias("min_bpb"), F.round(F.max("bpb"), 3).alias("max_bpb"), F.round(F.sum("bits") / F.sum("bytes"), 3).alias("pooled_bpb"))
+    b = document_bits(docs, trained=False, by_huffman=False, with_bytes=True).where("bpb is not null")
+    return b.agg(F.count("*").alias("n_docs"), *_summary(b, "bits", "bpb", "bytes"))
 
 
 def bits_by(docs: DataFrame, key: str) -> DataFrame:
     """(key, n_docs, pooled_bpb) and a total with a null key: a rollup over per-document rows."""
-    b = context_bits(docs).join(docs.select("doc_id", key, F.octet_length("text").alias("bytes")), "doc_id").where("bpb is not null")
+    b = document_bits(docs, trained=False, by_huffman=False, with_bytes=True).join(docs.select("doc_id", key), "doc_id").where("bpb is not null")
     return b.rollup(key).agg(F.count("*").alias("n_docs"), F.round(F.sum("bits") / F.sum("bytes"), 3).alias("pooled_bpb"))
 
 
+def evaluation(docs: DataFrame) -> DataFrame:
+    """A row a document: sizes of its archive and streams, bits per byte of the class stream and of the whole
+    archive, tags' Huffman bits, seconds, and the error of one that failed (its figures are null then)."""
+    c = codec.compressed(docs).drop("archive")
+    return c.join(morph_savings(docs), "doc_id", "left").join(huffman_summary(docs).select("doc_id", "n_sentences", "n_tags", "huffman_bits", "flat_bits"), "doc_id", "left")
+
+
+def evaluation_summary(rows: DataFrame) -> DataFrame:
+    """One row of evaluation()'s: documents, errors, bytes, both ratios (mean, population deviation, least, most,
+    pooled), seconds."""
+    good = rows.where("error is null and bpb is not null").withColumn("archive_bits", F.col("archive_bytes") * 8)
+    failed = rows.agg(F.count("*").alias("n_docs"), F.count("error").alias("n_errors"), F.sum("seconds").alias("seconds"))
+    return failed.crossJoin(F.broadcast(good.agg(F.sum("original_bytes").alias("bytes"), *_summary(good, "stream_bits", "bpb", "original_bytes"), *_summary(good, "archive_bits", "payload_bpb", "original_bytes"))))  # one row each
+
+
 def sentence_counts(docs: DataFrame) -> DataFrame:
     return sentences(docs).groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(F.length("sentence")).alias("n_chars"))
