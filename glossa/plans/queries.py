@@ -321,17 +321,17 @@ def transition_bits(s, d):
 
 @query
 def arith_roundtrip(s, d):
-    return codec.arithmetic_round_trip(documents(s, d)).select("doc_id", "n_symbols", "ok")
+    return codec.arithmetic_round_trip(documents(s, d)).select("doc_id", "n_symbols", "ok", "near_ideal")
 
 
 @query
 def counts_roundtrip(s, d):
-    return codec.counts_round_trip(documents(s, d)).select("doc_id", "n_symbols", "ok")
+    return codec.counts_round_trip(documents(s, d)).select("doc_id", "n_symbols", "ok", "near_ideal")
 
 
 @query
 def rans_roundtrip(s, d):
-    return codec.rans_round_trip(documents(s, d)).select("doc_id", "n_symbols", "ok")
+    return codec.rans_round_trip(documents(s, d)).select("doc_id", "n_symbols", "ok", "near_ideal")
 
 
 @query
@@ -343,6 +343,69 @@ def payload_roundtrip(s, d):
     return j.select("doc_id", F.size("words").alias("n_words"), (F.col("words") == F.col("r.word")).alias("ok"))
 
 
+@query
+def model_bpb(s, d):
+    m = model.document_bits(documents(s, d))
+    return m.select("doc_id", "n_symbols", "bits", "bpb")
+
+
+@query
+def compress_payload(s, d):
+    c = codec.compressed(documents(s, d))
+    return c.select("doc_id", "original_bytes", "n_words", "n_symbols", (F.col("archive_bytes") > 0).alias("coded"), F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def decompress_roundtrip(s, d):
+    docs = documents(s, d)
+    back = codec.decompressed(codec.compressed(docs))
+    ws = relations.tokens(docs).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent_id", "tok_id", "word"))).alias("r"))
+    return ws.join(back, "doc_id").select("doc_id", F.size("words").alias("n_words"), (F.col("words") == F.col("r.word")).alias("ok"))
+
+
+@query
+def evaluation_rows(s, d):
+    return report.evaluation(documents(s, d)).drop("seconds")
+
+
+@query
+def evaluation_summary(s, d):
+    return report.evaluation_summary(report.evaluation(documents(s, d))).drop("seconds")
+
+
+@query
+def root_characters(s, d):
+    roots = _toks(s, d).select("root").distinct()
+    at = F.arrays_zip(phonetic.characters(phonetic.class_string(F.col("root"))).alias("k"), phonetic.characters(phonetic.place_string(F.col("root"))).alias("p"))
+    c = roots.select("root", F.posexplode(at).alias("i", "x")).select("root", "i", F.col("x.k").cast("int").alias("cls"), (F.ascii("x.p") - 48).alias("pos"))
+    c = c.join(F.broadcast(dims.coordinates_table(s)), ["cls", "pos"], "left").groupBy("root").agg(F.sort_array(F.collect_list(F.struct("i", "ch"))).alias("r"))
+    return c.select("root", F.array_join("r.ch", "").alias("back"))
+
+
+@query
+def split_roots(s, d):
+    t = _toks(s, d).groupBy("doc_id", "sent_id").agg(F.sort_array(F.collect_list(F.struct("tok_id", "root"))).alias("r"))
+    line = F.array_join(F.transform("r.root", lambda r: F.concat(F.lit("^"), r, F.lit("$"))), "_")
+    return t.select("doc_id", "sent_id", F.array_join(F.regexp_extract_all(line, F.lit(r"\^([^$^]+)\$"), F.lit(1)), " ").alias("roots"))
+
+
+@query
+def tag_lz77(s, d):
+    t = _toks(s, d).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent_id", "tok_id", "tag"))).alias("r"))
+    return codec.tag_round_trip(t.select("doc_id", F.col("r.tag").alias("tags"))).select("doc_id", "n_tags", "ok")
+
+
+@query
+def word_substitution(s, d):
+    w = discourse.word_substituted(documents(s, d))
+    return w.select("doc_id", "n_symbols", (F.col("original") == F.col("decoded")).alias("ok"))
+
+
+@query
+def slot_splice(s, d):
+    return discourse.slotted(documents(s, d)).select("doc_id", "ok")
+
+
 @query
 def corpus_summary(s, d):
     return report.corpus_summary(documents(s, d))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glossa.functions.text import without_bom
+from glossa.operators import codec
 
 PAYLOAD = T.StructType(
     [
@@ -36,7 +37,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_payload(payload: DataFrame, path: str, form: str = "parquet") -> None:
-    """Parquet in zstd, or JSON lines."""
+    """Payloads (roots and codes) or archives: Parquet in zstd, or JSON lines (archives in base 64)."""
     w = payload.write.mode("overwrite")
     if form == "json":
         w.json(path)
@@ -45,12 +46,27 @@ def write_payload(payload: DataFrame, path: str, form: str = "parquet") -> None:
 
 
 def read_payload(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
-    """JSON needs its schema: the map's keys are text there."""
+    """What write_payload wrote: (doc_id, archive) where there are archives, else the roots and codes. In JSON
+    a map's keys are text and archives are base 64."""
     if form == "json":
-        raw = spark.read.schema("doc_id long, roots array<string>, codes array<int>, exceptions map<string,string>").json(path)
+        raw = spark.read.schema("doc_id long, archive string, roots array<string>, codes array<int>, exceptions map<string,string>").json(path)
         keys = F.map_from_entries(F.transform(F.map_entries("exceptions"), lambda e: F.struct(e["key"].cast("int"), e["value"])))
-        return raw.withColumn("exceptions", keys)
-    return spark.read.schema(PAYLOAD).parquet(path)
+        raw = raw.withColumns({"exceptions": keys, "archive": F.unbase64("archive")})
+        return raw.select("doc_id", "archive") if raw.where("archive is not null").limit(1).count() else raw.drop("archive")
+    found = spark.read.parquet(path)
+    return found.select("doc_id", "archive") if "archive" in found.columns else spark.read.schema(PAYLOAD).parquet(path)
+
+
+def sizes(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """The figures that were written beside the archives."""
+    kinds = "doc_id long, original_bytes long, n_words long, n_symbols long, stream_bytes long, archive_bytes long, stream_bits double, bpb double, payload_bpb double, ratio double, seconds double, error string"
+    r = spark.read.schema(kinds)
+    return r.json(path) if form == "json" else r.parquet(path)
+
+
+def read_words(payload: DataFrame) -> DataFrame:
+    """(doc_id, words, text) of either form."""
+    return codec.decompressed(payload) if "archive" in payload.columns else codec.rebuilt(payload)
 
 
 def write_model(char: DataFrame, morph: DataFrame, struct: DataFrame, weights: DataFrame, path: str) -> None:
