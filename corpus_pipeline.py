@@ -9,6 +9,10 @@ simhash    keeps of each near-duplicate group the row with the smallest doc_id (
 substring  takes out words of 35-word passages that stand elsewhere too; documents left without a word go
 pii        replaces personal data with [KIND]
 packing    packs the rest into sequences of at most 2048 tokens
+
+All stages but the last take and return the columns of documents, look at no others, read texts whole
+whatever their length, treat equal rows alike, and give an empty table for an empty one. A null text is
+kept as it is by all of them (packing: one piece of one id).
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar, learned from all labelled rows of sf_dir at most its sample, doesn't reject."""
+    """Documents that the grammar, learned from all labelled rows of sf_dir up to its documented sample, doesn't
+    reject (a score under 0.5). Ids play no part: rows without one, or sharing one, stay or go by their text.
+    Null and empty texts score as texts without matches and stay. Without labels the lexicon is a few words."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learn_from = spark.read.parquet(f"{sf_dir}/documents.parquet")
     g = toxicity.learn(learn_from, labels)
@@ -53,7 +59,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of repeated passages; texts that lose nothing stay as they are, and
-    documents that lose all their words go."""
+    documents that lose all their words go. Repeated rows are places of their own, so both lose what they share;
+    null and empty texts and texts of fewer than 35 words stay. Null and repeated ids are ids like any other."""
     docs = docs.select(*COLUMNS).withColumn("rk", F.xxhash64("doc_id", "text"))
     cut = substring.dedup_substrings(docs).where("n_removed > 0").groupBy("rk").agg(F.min("kept").alias("kept"))
     text = F.coalesce("kept", "text")
@@ -62,7 +69,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced."""
+    """Documents with personal data replaced; n_chars is counted anew (null for a null text). A row a row."""
     ship(spark)
     docs = docs.select(*COLUMNS)
 
@@ -77,6 +84,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed documents, as packing.pack returns them: every id of every document in one place."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -93,6 +101,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each one's result written and read again as the next one's input. The written
+    tables lie in the application's own folder, which goes with it (runtime.scratch_dir)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

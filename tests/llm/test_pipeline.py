@@ -69,3 +69,22 @@ def test_one_of_each_group(spark):
     got = sorted((r.doc_id or 0, r.text) for r in C.near_duplicates(spark, docs, "").collect())
     want = [(0, b), (4, c), (5, d), (7, a + " z"), (3, e), (8, "x"), *([] if near else [(0, a)])]
     assert got == sorted(want + [(0, t) for t in fp if t.startswith("only")])
+
+
+def test_stages_on_odd_tables(spark, start):
+    """Empty tables, long texts, repeated rows, nulls in every column, and extra columns with names of ours."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long_text = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
+    rows = [(1, long_text, "en", "s", len(long_text)), (None, None, None, None, None), (None, None, None, None, None), (2, "", None, "s", 0), (3, "one two", "en", None, 7), (3, "one two", "en", None, 7), (None, "unnumbered", "en", "s", None)]
+    wide = spark.createDataFrame(rows, schema).withColumns({c: F.lit("own") for c in ("rk", "row", "fp", "kept", "salt", "r", "toxic", "factors")})
+    for name, stage in C.STAGES:
+        assert stage(spark, wide.where("false"), start).count() == 0
+        out = stage(spark, wide, start).collect()
+        if name == "packing":
+            assert sum(r.length for r in out if r.doc_id == 1) == max(r.doc_tokens for r in out if r.doc_id == 1)
+            assert len([r for r in out if r.doc_id == 3]) == 2
+            continue
+        texts = [r.text for r in out]
+        assert long_text in texts and texts.count("one two") == (1 if name == "simhash" else 2)
+        assert texts.count(None) == (0 if name == "simhash" else 2) and "" in texts  # one of the texts without words
+        assert all(len(r) == 5 for r in out)
