@@ -204,14 +204,15 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def score(docs: DataFrame, path: str) -> DataFrame:
+def score(docs: DataFrame, path: str, whole_words: bool = True) -> DataFrame:
     """docs (doc_id, text and any others) -> (doc_id, held_out boolean, n_tokens, n_known, train_tokens
     long, base_score, score double), a row per row; path: a sentencepiece model that every executor reads.
 
     A-Z lower-cased; tokens: words [^\\x20\\x09-\\x0D]+, then one end. Learned from rows whose crc32(doc_id
     as text) mod 10 isn't 0 (a null id counts as an empty text: held out). Null and empty texts are their
     end only. base_score: log10 probability by add-0.1 word unigrams; score: the lattice's. With nothing
-    to learn from, words have lattice arcs only and base_score is that of zero counts. Long texts and words are
+    to learn from, or without whole_words, words have the vocabulary's arcs only; base_score is that of zero
+    counts where there are none. Long texts and words are
     scored whole, repeated rows count as often as they stand, columns beside doc_id, text and lang are not
     read, and an empty table gives an empty result."""
     spark = docs.sparkSession
@@ -283,6 +284,8 @@ def score(docs: DataFrame, path: str) -> DataFrame:
         ends = known.where(F.col("word") == F.lit(_END)).first()
         share = np.array([ends[c] for c in cs], np.float64) if ends else np.zeros(kinds)
         share = np.log10(share / share.sum()) if share.sum() else np.zeros(1)
+        # without arcs for whole words the pieces have all that ends leave
+        ended = np.log1p(-np.array([(ends[c] - d) / n if ends and n > ends[c] else 0.5 for c, d, n in zip(cs, cut, size, strict=True)]))[:, None]
 
     def weights(p: Pieces, learned: list[dict[int, float]]) -> np.ndarray:
         out = []
@@ -328,6 +331,9 @@ def score(docs: DataFrame, path: str) -> DataFrame:
             c = np.array([batch.column(k + 1).to_numpy() for k in range(kinds)], np.float64)
             with np.errstate(divide="ignore"):
                 whole = np.where(c > 0, np.log((np.maximum(c, 1) - cut[:, None]) / np.maximum(size, 1)[:, None]), -np.inf)
+            ends = np.array([w == _END for w in words])
+            if not whole_words:
+                whole[:, ~ends] = -np.inf
             lp = np.full(c.shape, np.log(1e-3)) + left[:, None]  # stays so for an end that was never learned
             at = np.array([i for i, w in enumerate(words) if w != _END], np.int64)
             for rows, b in by_length([words[i][1:] for i in at]) if len(at) else ():
@@ -336,7 +342,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
                     got = np.array([[long_forward(arcs, logp[k], i)[-1] for i in range(len(rows))] for k in range(kinds)])
                 else:
                     got = forward(arcs, logp)[-1]
-                lp[:, at[rows]] = got + left[:, None]
+                lp[:, at[rows]] = got + (left[:, None] if whole_words else ended)
             lp = np.logaddexp(lp, whole) / np.log(10)
             raw = [w[1:] for w in words]
             n = np.array([len(w) for w in raw], np.int64)

@@ -22,6 +22,7 @@ from glossa.llm import kernels as K
 from glossa.llm.runtime import lean, partitions, ship
 
 LONG, SHORT, BAND = 20, 8, 64
+RANGE, MOST_RANGES = 10_000, 20_000  # documents to a range, ranges at most: they only set the size of tasks
 _TABLE = K.mix(np.arange(901, 1157, dtype=np.uint64))
 _LOW = -(1 << 63)
 
@@ -126,7 +127,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text: the last floor(n_chars / 2) code points replaced by the first as many (or all) of the
     next document by descending doc_id (null ids last, equal ids by a hash of the text); after the last
     comes the first. Null texts count as empty. Equal texts have equal fingerprints; an empty text's is
-    ''. Empty tables give empty results.
+    ''. Long texts keep all their anchors, repeated rows are documents of their own, other columns are not
+    read. Empty tables give empty results.
 
     Rows are dealt into ranges of doc_id; each range also gets a copy of the next range's first row, so
     neighbours meet without a global sort in one task. The driver holds a row for each range only."""
@@ -134,7 +136,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ship(spark)
     d = lean(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
     place = d.withColumn("at", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)))
-    n = partitions(spark)
+    n = max(partitions(spark), min(MOST_RANGES, place.count() // RANGE))
     cuts = place.approxQuantile("at", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     bounds = np.unique(np.array(cuts, np.float64)).astype(np.int64) if cuts else np.zeros(0, np.int64)
 
