@@ -35,6 +35,13 @@ def characters(c: Column) -> Column:
     return F.filter(F.split(c, ""), lambda x: x != "")
 
 
+def decoded(classes: Column, places: Column) -> Column:
+    """The characters of a class_string and its place_string; ? for coordinates that have none."""
+    table = F.create_map(*[F.lit(x) for c, (k, p) in coordinates().items() for x in (chr(48 + k) + chr(48 + p), c)])
+    pairs = F.arrays_zip(characters(classes).alias("k"), characters(places).alias("p"))
+    return F.array_join(F.transform(pairs, lambda x: F.coalesce(F.try_element_at(table, F.concat(x["k"], x["p"])), F.lit("?"))), "")
+
+
 def role(i: Column, n: Column) -> Column:
     """0 first, 1 inside, 2 last, 3 the only one; i from 0. Lengths under 1 give null."""
     return F.when(n < 1, F.lit(None).cast("int")).when(n == 1, 3).when(i <= 0, 0).when(i >= n - 1, 2).otherwise(1)

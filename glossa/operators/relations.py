@@ -89,18 +89,21 @@ def sentence_chunks(docs: DataFrame, size: int = 3000) -> DataFrame:
 
 def bare(word: Column) -> Column:
     """Lower case, without signs outside."""
-    return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return F.regexp_extract(F.lower(word), r"(?s)[\p{L}\p{N}](?:.*[\p{L}\p{N}])?", 0)
 
 
-def tagged(word: Column, first: Column) -> Column:
-    """Default tag of a word: closed lists, digits, suffixes, capitals; else NOUN. A tagging model can
-    take its place (see retagged)."""
-    w = bare(word)
+def tagged(word: Column, first: Column, w: Column | None = None) -> Column:
+    """Default tag of a word: closed lists, digits, suffixes, capitals; else NOUN. w: the bare word, where it is
+    a column already. A tagging model can take its place (see retagged)."""
+    w = bare(word) if w is None else w
     c = F.when(w == "", "PUNCT").when(w.rlike("^[0-9]+([.,][0-9]+)*$"), "NUM")
     for tag, ws in TAGGER.items():
         c = c.when(w.isin(ws.split()), tag)
     for tag, ends in TAG_SUFFIXES.items():
-        c = c.when(w.rlike("^.{2,}(" + "|".join(ends) + ")$"), tag)
+        hit = F.lit(False)
+        for e in ends:
+            hit = hit | (w.endswith(e) & (F.length(w) >= len(e) + 2))
+        c = c.when(hit, tag)
     return c.when(~first & word.rlike(r"^[^\p{L}\p{N}]*\p{Lu}"), "PROPN").otherwise("NOUN")
 
 
@@ -108,8 +111,9 @@ def tokens(docs: DataFrame, tagger: Callable[[], Callable[[list[list[str]]], lis
     """(doc_id, sent_id, tok_id, n_tok, word, root, code, tag). tagger: see retagged()."""
     s = sentences(docs).withColumn("ws", text.words(F.col("sentence")))
     t = s.select("doc_id", "sent_id", F.size("ws").alias("n_tok"), F.posexplode("ws").alias("tok_id", "word"))
-    t = t.withColumn("m", morph.analysed(F.col("word")))
-    t = t.select("doc_id", "sent_id", "tok_id", "n_tok", "word", F.col("m.root").alias("root"), F.col("m.code").alias("code"), tagged(F.col("word"), F.col("tok_id") == 0).alias("tag"))
+    # columns of their own, as each is used several times
+    t = t.withColumns({"m": morph.analysed(F.col("word")), "b": bare(F.col("word"))})
+    t = t.select("doc_id", "sent_id", "tok_id", "n_tok", "word", F.col("m.root").alias("root"), F.col("m.code").alias("code"), tagged(F.col("word"), F.col("tok_id") == 0, F.col("b")).alias("tag"))
     return retagged(t, tagger) if tagger else t
 
 

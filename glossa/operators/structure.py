@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.functions import phonetic
 from glossa.functions.dims import POS_TAGS, SENTENCE_TYPES
 from glossa.operators.relations import sentences, tokens
 
@@ -52,6 +53,34 @@ def sentence_meta(docs: DataFrame) -> DataFrame:
     return s.select("doc_id", "sent_id", "type", meta_code(F.col("type"), F.lit("ACTIVE"))["type"].alias("type_code"))
 
 
+def syntax(docs: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, sentence, tokens, tags, sentence_type, voice, phrases): what is known of each sentence
+    with words; phrases: array<struct<start,end,label>>."""
+    t = tokens(docs)
+    s = t.groupBy("doc_id", "sent_id").agg(F.sort_array(F.collect_list(F.struct("tok_id", "word", "tag"))).alias("r"))
+    np_ = noun_phrases(t).groupBy("doc_id", "sent_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "label"))).alias("phrases"))
+    j = sentences(docs).join(s, ["doc_id", "sent_id"]).join(np_, ["doc_id", "sent_id"], "left")
+    none = F.array().cast("array<struct<start:bigint,end:bigint,label:string>>")
+    return j.select(
+        "doc_id", "sent_id", "sentence", F.col("r.word").alias("tokens"), F.col("r.tag").alias("tags"), sentence_type(F.col("sentence")).alias("sentence_type"),
+        rule_voice(F.col("r.tag"), F.col("r.word")).alias("voice"), F.coalesce(F.col("phrases").cast("array<struct<start:bigint,end:bigint,label:string>>"), none).alias("phrases"),
+    )
+
+
+def sentence_streams(docs: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, classes, places, codes, tags, root_lengths, class_deltas, place_deltas, type, voice): all
+    streams of each sentence's marked words as arrays; classes and places are a number a character."""
+    s = tokens(docs).groupBy("doc_id", "sent_id").agg(F.sort_array(F.collect_list(F.struct("tok_id", "word", "root", "code", "tag"))).alias("r"))
+    line = F.array_join(F.transform("r.root", lambda r: F.concat(F.lit("^"), r, F.lit("$"))), "_")
+    s = s.withColumns({"k": phonetic.characters(phonetic.class_string(line)), "p": phonetic.characters(phonetic.place_string(line))})
+    s = s.withColumns({"classes": F.transform("k", lambda c: c.cast("int")), "places": F.transform("p", lambda c: F.ascii(c) - 48)})
+    meta = sentences(docs).select("doc_id", "sent_id", sentence_type(F.col("sentence")).alias("type"))
+    return s.join(meta, ["doc_id", "sent_id"]).select(
+        "doc_id", "sent_id", "classes", "places", F.col("r.code").alias("codes"), F.col("r.tag").alias("tags"), F.transform("r.root", F.length).alias("root_lengths"),
+        phonetic.deltas(F.col("classes")).alias("class_deltas"), phonetic.deltas(F.col("places")).alias("place_deltas"), "type", rule_voice(F.col("r.tag"), F.col("r.word")).alias("voice"),
+    )
+
+
 def tree_shape(heads: list[int], deps: list[str]) -> str:
     """S[dep[child ...]] of a dependency tree: children by index, a node met again is *, no node is S[]."""
     kids: dict[int, list[int]] = {}

@@ -176,6 +176,7 @@ def sql() -> dict[str, str]:
     facts = "list_transform(range(k, 0, -1), lambda j: (p_partkey // (factorial((j - 1)::INTEGER))::BIGINT) % j)"
     orders = "lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)"
     symbols = "SELECT doc_id, count(*)::BIGINT AS n_symbols, true AS ok, true AS near_ideal FROM p GROUP BY 1"
+    voiced = r"vo AS (SELECT doc_id, sent_id, CASE WHEN regexp_matches(string_agg(word, ' ' ORDER BY tok_id), '(?i)(^|[^A-Za-z0-9_])(is|are|was|were|be|been|being) ([A-Za-z0-9_]+ly )?[A-Za-z0-9_]+(ed|en)([^A-Za-z0-9_]|$)') THEN 'PASSIVE' ELSE 'ACTIVE' END AS voice FROM t GROUP BY ALL)"
     letter = "CASE tag " + " ".join(f"WHEN '{t}' THEN '{chr(97 + i)}'" for i, t in enumerate(dims.POS_TAGS)) + " END"
     code = {t: chr(97 + i) for i, t in enumerate(dims.POS_TAGS)}
     phrase = f"({code['DET']}?[{code['ADJ']}{code['NUM']}]*[{code['NOUN']}{code['PROPN']}]+)"
@@ -227,6 +228,10 @@ def sql() -> dict[str, str]:
         "compress_payload": f"WITH {_PAIRS}, k AS (SELECT doc_id, count(*) AS n FROM p GROUP BY 1), ws AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1) SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS original_bytes, coalesce(ws.n, 0)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_symbols, true AS coded, false AS failed FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN ws USING (doc_id)",
         "decompress_roundtrip": f"WITH {_TOKS} SELECT doc_id, count(*)::BIGINT AS n_words, true AS ok FROM t GROUP BY 1",
         "root_characters": f"WITH {_TOKS} SELECT DISTINCT root, regexp_replace(root, {q(_NOT_KNOWN)}, '', 'g') AS back FROM t",
+        "word_decode": f"WITH {_TOKS} SELECT DISTINCT root, regexp_replace(root, {q(_NOT_KNOWN)}, '?', 'g') AS back FROM t",
+        "sentence_streams": rf"WITH {_TOKS}, {voiced}, l2 AS (SELECT doc_id, sent_id, string_agg('^' || root || '$', '_' ORDER BY tok_id) AS line, string_agg(code::VARCHAR, ',' ORDER BY tok_id) AS codes, string_agg(tag, ',' ORDER BY tok_id) AS tags, string_agg(length(root)::VARCHAR, ',' ORDER BY tok_id) AS root_lengths FROM t GROUP BY ALL), l3 AS (SELECT *, {_mapped('line', 0)} AS ks, {_mapped('line', 1)} AS ps FROM l2), l4 AS (SELECT *, array_to_string(string_split(ks, ''), ',') AS classes, array_to_string(list_transform(string_split(ps, ''), lambda x: ascii(x) - 48), ',') AS places FROM l3) SELECT doc_id, sent_id::BIGINT AS sent_id, classes, places, codes, tags, root_lengths, {kind} AS type, voice, (ascii(right(ks, 1)) - ascii(substr(ks, length(ks) - 1, 1)))::BIGINT AS last_delta FROM l4 JOIN s USING (doc_id, sent_id) JOIN vo USING (doc_id, sent_id)",
+        "syntax_result": rf"WITH {_TOKS}, {voiced}, l2 AS (SELECT doc_id, sent_id, string_agg(word, ' ' ORDER BY tok_id) AS tokens, string_agg(tag, ',' ORDER BY tok_id) AS tags, string_agg({letter}, '' ORDER BY tok_id) AS line FROM t GROUP BY ALL) SELECT doc_id, sent_id::BIGINT AS sent_id, tokens, tags, {kind} AS sentence_type, voice, len(regexp_extract_all(line, '{phrase}'))::BIGINT AS n_phrases FROM l2 JOIN s USING (doc_id, sent_id) JOIN vo USING (doc_id, sent_id)",
+        "morph_digits": "WITH m AS (SELECT * FROM (VALUES " + morphs + ") v(code, name)), k AS (SELECT code, name, 1 + len(list_filter(range(1, 20), lambda i: code >= (factorial(i::INTEGER))::BIGINT)) AS k FROM m) SELECT code::BIGINT AS code, name, CASE WHEN code = 0 THEN '0' ELSE array_to_string(" + facts.replace("p_partkey", "code") + ", '.') END AS digits, code::BIGINT AS back FROM k",
         "split_roots": rf"WITH {_TOKS}, l2 AS (SELECT doc_id, sent_id, string_agg('^' || root || '$', '_' ORDER BY tok_id) AS line FROM t GROUP BY ALL) SELECT doc_id, sent_id::BIGINT AS sent_id, array_to_string(regexp_extract_all(line, '\^([^$^]+)\$', 1), ' ') AS roots FROM l2",
         "tag_lz77": f"WITH {_TOKS} SELECT doc_id, count(*)::BIGINT AS n_tags, true AS ok FROM t GROUP BY 1",
         "word_substitution": f"WITH {_TOKS}, c AS (SELECT doc_id, b AS word, count(*) AS n FROM t WHERE b <> '' GROUP BY ALL), k AS (SELECT doc_id, count(*) AS n FROM c WHERE n * (length(word) - 4) - 20 > 0 GROUP BY 1) SELECT doc_id, coalesce(n, 0)::BIGINT AS n_symbols, true AS ok FROM documents LEFT JOIN k USING (doc_id)",

@@ -382,6 +382,34 @@ def root_characters(s, d):
     return c.select("root", F.array_join("r.ch", "").alias("back"))
 
 
+def _joined(c: str):
+    return F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+
+
+@query
+def word_decode(s, d):
+    roots = _toks(s, d).select("root").distinct()
+    return roots.select("root", phonetic.decoded(phonetic.class_string(F.col("root")), phonetic.place_string(F.col("root"))).alias("back"))
+
+
+@query
+def sentence_streams(s, d):
+    t = structure.sentence_streams(documents(s, d))
+    return t.select("doc_id", "sent_id", _joined("classes"), _joined("places"), _joined("codes"), _joined("tags"), _joined("root_lengths"), "type", "voice", F.element_at("class_deltas", -1).alias("last_delta"))
+
+
+@query
+def syntax_result(s, d):
+    t = structure.syntax(documents(s, d))
+    return t.select("doc_id", "sent_id", F.array_join("tokens", " ").alias("tokens"), _joined("tags"), "sentence_type", "voice", F.size("phrases").alias("n_phrases"))
+
+
+@query
+def morph_digits(s, d):
+    f = phonetic.factoradic(F.col("code"))
+    return dims.morph_table(s).select("code", "name", F.array_join(f.cast("array<string>"), ".").alias("digits"), phonetic.from_factoradic(f).alias("back"))
+
+
 @query
 def split_roots(s, d):
     t = _toks(s, d).groupBy("doc_id", "sent_id").agg(F.sort_array(F.collect_list(F.struct("tok_id", "root"))).alias("r"))
