@@ -91,7 +91,8 @@ class Store:
 
     def clear(self) -> None:
         self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first, self.ids, self.words = np.zeros(1, np.int64), np.zeros(0, np.uint32), []
+        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.begin, self.text = np.zeros(1, np.int64), np.zeros(8, np.uint8)  # the bytes of all, and eight more
 
     def add(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """hashes: distinct and unknown, each with its bytes."""
@@ -99,7 +100,8 @@ class Store:
         row = np.arange(len(counts)) + len(self.first) - 1
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(counts)])
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-        self.words += words
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(w) for w in words])])
+        self.text = np.concatenate([self.text[:-8], np.frombuffer(b"".join(words), np.uint8), np.zeros(8, np.uint8)])
         known, rows = np.concatenate([self.known, hashes]), np.concatenate([self.row, row])
         order = np.argsort(known)
         self.known, self.row = known[order], rows[order]
@@ -124,19 +126,12 @@ class Store:
 
 def _unlike(b: K.Block, s: np.ndarray, e: np.ndarray, rows: np.ndarray, store: Store) -> np.ndarray:
     """Pre-tokens whose bytes are not those that the store has for them: compared eight bytes a step."""
-    distinct = np.unique(rows)
-    own = b"".join([store.words[r] for r in distinct.tolist()])
-    size = np.array([len(store.words[r]) for r in distinct.tolist()], np.int64)
-    begin = np.zeros(len(store.words), np.int64)
-    begin[distinct] = np.cumsum(size) - size
-    length = np.zeros(len(store.words), np.int64)
-    length[distinct] = size
+    begin, length = store.begin, np.diff(store.begin)
     n = e - s
     bad = length[rows] != n
-    mine, theirs = (np.concatenate([x, np.zeros(8, np.uint8)]) for x in (b.data, np.frombuffer(own, np.uint8)))
-    x, y = (np.ndarray(len(v) - 7, "<u8", v, strides=(1,)) for v in (mine, theirs))
+    x, y = (np.ndarray(len(v) - 7, "<u8", v, strides=(1,)) for v in (np.concatenate([b.data, np.zeros(8, np.uint8)]), store.text))
     for i in np.flatnonzero(~bad & (n > K.LONG_SPAN)):
-        bad[i] = b.data[s[i] : e[i]].tobytes() != store.words[rows[i]]
+        bad[i] = b.data[s[i] : e[i]].tobytes() != store.text[begin[rows[i]] : begin[rows[i] + 1]].tobytes()
     at, k = np.flatnonzero(~bad & (n <= K.LONG_SPAN)), 0
     while len(at):
         differ = (x[s[at] + k] ^ y[begin[rows[at]] + k]) & K.MASKS[np.minimum(n[at] - k, 8)] != 0
@@ -148,7 +143,7 @@ def _unlike(b: K.Block, s: np.ndarray, e: np.ndarray, rows: np.ndarray, store: S
 
 def encode_blocks(blocks: list[K.Block], store: Store, glue: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """Token ids of each block's documents, one after the other, and where each document's begin."""
-    if len(store.words) > store.most:
+    if len(store.first) > store.most:
         store.clear()
     parts, need = [], {}
     for b in blocks:

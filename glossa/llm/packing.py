@@ -26,7 +26,8 @@ from glossa.llm import kernels as K
 from glossa.llm.lexer import Store, encode_blocks, groups
 from glossa.llm.runtime import lean, ship, written
 
-SIZE, END, RANKED, SHARE = 2048, 1, 100_000, 12 << 20
+SIZE, END, RANKED = 2048, 1, 100_000
+BLOCK, SHARE = 1 << 20, 4 << 20  # bytes of text to a block and a share: they set a worker's memory, not the ids
 #: What the lexer and normalised() imitate.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
@@ -101,7 +102,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> Data
     """docs (doc_id, text) -> (doc_id, start, length, ids_crc32, doc_tokens, ids array<int>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in groups(K.blocks(batches), SHARE):
+        for held in groups(K.blocks(batches, size=BLOCK), SHARE):
             for b, ids, first in _ids(held, path):
                 total = np.diff(first) + 1
                 out = np.full(len(ids) + len(b), end, np.int32)

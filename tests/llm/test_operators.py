@@ -5,11 +5,14 @@ import base64
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import brute
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings
@@ -258,6 +261,26 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_packing_holds_little(monkeypatch):
+    """A worker's arrays stay small however many texts its task has, and the ids are the library's."""
+    monkeypatch.setattr(packing, "lean", lambda d, *cols: d)
+    docs = SimpleNamespace(dtypes=[("doc_id", "bigint")], mapInArrow=lambda run, schema: run)
+    texts = [" ".join(f"w{(i * 7 + k) % 5000}" for k in range(1500)) for i in range(1600)]  # some 13 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    run = packing.pieces(docs, WORDS)
+    list(run(iter([batch.slice(0, 1)])))  # the tokenizer and tables of characters are not counted
+    packing._store(WORDS).clear()
+    total, most = {}, 0
+    tracemalloc.start()
+    for b in run(iter([batch])):
+        total |= zip(b.column("doc_id").to_pylist(), b.column("doc_tokens").to_pylist(), strict=True)
+        most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = packing._whole(WORDS)[0]
+    assert len(total) == len(texts) and all(total[i] == len(whole.encode(texts[i], add_special_tokens=False).ids) + 1 for i in (0, 700, 1599))
+    assert most < 300 << 20  # 187 MB; 547 with shares of 12 MB in blocks of 4
+
+
 def test_packing(docs, rows):
     import tokenizers
 
