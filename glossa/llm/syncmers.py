@@ -23,46 +23,52 @@ from glossa.llm.runtime import lean, partitions, ship
 
 LONG, SHORT, BAND = 20, 8, 64
 RANGE, MOST_RANGES = 10_000, 20_000  # documents to a range, ranges at most: they only set the size of tasks
+STEP, BLOCK = 1 << 17, 1 << 19  # bytes looked through at a time, bytes of text to a block: they only bound memory
 _TABLE = K.mix(np.arange(901, 1157, dtype=np.uint64))
 _LOW = -(1 << 63)
 
 
+def _closed(data: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes (uint32) of the closed syncmers of at least k bytes, whatever texts they belong to."""
+    n = len(data)
+    v = _TABLE[data]
+    small = v[: n - s + 1].copy()
+    for i in range(1, s):
+        small = small * np.uint64(0x9E3779B97F4A7C15) + v[i : n - s + 1 + i]
+    small = K.mix(small) >> np.uint64(32)
+    w = k - s + 1
+    low, span = small, 1
+    while span < w:
+        step = min(span, w - span)
+        low = np.minimum(low[:-step], low[step:])
+        span += step
+    at = np.flatnonzero((small[: n - k + 1] == low) | (small[w - 1 :] == low))
+    # the k-byte substring is its s-byte parts at every s-th place and the last one
+    h = np.zeros(len(at), np.uint64)
+    for i in (*range(0, k - s, s), k - s):
+        h = h * np.uint64(0xD6E8FEB86659FD93) + small[at + i]
+    return at, (K.mix(h) >> np.uint64(32)).astype(np.uint32)
+
+
 def anchors(data: np.ndarray, offs: np.ndarray, k: int = LONG, s: int = SHORT) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text its fingerprint: hashes (uint32, ascending) and places (bytes, ascending among
     equal hashes) of all its anchors. A text without a closed syncmer (each of fewer than k bytes is one)
     has one anchor, the whole text; an empty text has none."""
     out: list[tuple[np.ndarray, np.ndarray]] = []
     size = np.diff(offs)
-    n = len(data)
-    doc, at, h = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if n >= k:
-        v = _TABLE[data]
-        small = v[: n - s + 1].copy()
-        for i in range(1, s):
-            small = small * np.uint64(0x9E3779B97F4A7C15) + v[i : n - s + 1 + i]
-        small = K.mix(small) >> np.uint64(32)
-        w = k - s + 1
-        low, span = small, 1
-        while span < w:
-            step = min(span, w - span)
-            low = np.minimum(low[:-step], low[step:])
-            span += step
-        at = np.flatnonzero((small[: n - k + 1] == low) | (small[w - 1 :] == low))
-        doc = np.searchsorted(offs, at, "right") - 1
-        inside = at + k <= offs[doc + 1]
-        doc, at = doc[inside], at[inside]
-        # the k-byte substring is its s-byte parts at every s-th place and the last one
-        h = np.zeros(len(at), np.uint64)
-        for i in (*range(0, k - s, s), k - s):
-            h = h * np.uint64(0xD6E8FEB86659FD93) + small[at + i]
-        h = K.mix(h) >> np.uint64(32)
+    parts = [_closed(data[i : i + STEP + k - 1], k, s) for i in range(0, len(data) - k + 1, STEP)]
+    at = np.concatenate([np.zeros(0, np.int64), *(p + i * STEP for i, (p, _) in enumerate(parts))])
+    h = np.concatenate([np.zeros(0, np.uint32), *(x for _, x in parts)])
+    doc = np.searchsorted(offs, at, "right") - 1
+    inside = at + k <= offs[doc + 1]
+    doc, at, h = doc[inside], at[inside], h[inside]
     order = np.lexsort((at, h, doc))
     doc, at, h = doc[order], at[order], h[order]
     first = np.searchsorted(doc, np.arange(len(size) + 1))
     for i in range(len(size)):
         a, b = first[i], first[i + 1]
         if a < b:
-            out.append((h[a:b].astype(np.uint32), at[a:b] - offs[i]))
+            out.append((h[a:b], at[a:b] - offs[i]))
         elif size[i]:
             d = hashlib.sha256(data[offs[i] : offs[i + 1]].tobytes()).digest()
             out.append((np.frombuffer(d[:4], np.uint32), np.zeros(1, np.int64)))
@@ -170,10 +176,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         n = 0
         for batch in batches:
-            for seg, extra, doc, body in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("seg", "extra", "doc_id", "z")), strict=True):
-                rows.append((seg, extra, doc, z.decompress(body)))
+            seg, extra, doc, body = (batch.column(batch.schema.get_field_index(c)) for c in ("seg", "extra", "doc_id", "z"))
+            for i in range(batch.num_rows):
+                rows.append((seg[i].as_py(), extra[i].as_py(), doc[i].as_py(), z.decompress(body[i].as_buffer())))
                 n += len(rows[-1][3])
-                if n >= 1 << 20 and len(rows) > 1:
+                if n >= BLOCK and len(rows) > 1:
                     yield _rows(rows, kind)
                     rows, n = rows[-1:], len(rows[-1][3])
         if len(rows) > 1:

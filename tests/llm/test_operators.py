@@ -423,6 +423,26 @@ def test_syncmers_keep_all_of_a_text(spark):
     assert out[0].fingerprint == syncmers.as_string(f[0])
 
 
+def test_syncmers_look_through_texts_in_steps():
+    rng = np.random.default_rng(7)
+    t = bytes(rng.integers(97, 100, syncmers.STEP + 5000).astype(np.uint8))
+    (h, at), (h2, at2) = (syncmers.anchors(np.frombuffer(x + t, np.uint8), np.array([0, len(x + t)]))[0] for x in (b"", bytes(2500)))
+    v, small = syncmers._TABLE[np.frombuffer(t, np.uint8)], 0
+    for i in range(8):
+        small = small * np.uint64(0x9E3779B97F4A7C15) + v[i : len(t) - 7 + i]
+    small = kernels.mix(small) >> np.uint64(32)
+    low = np.lib.stride_tricks.sliding_window_view(small, 13).min(1)
+    assert np.array_equal(np.sort(at), np.flatnonzero((small[:-12] == low) | (small[12:] == low)))
+    assert set(zip(h.tolist(), at.tolist(), strict=True)) <= set(zip(h2.tolist(), (at2 - 2500).tolist(), strict=True))
+    # a long text needs memory for its anchors and for one step, not tens of bytes for each of its own
+    t = np.frombuffer(bytes(rng.integers(97, 123, 4_000_000).astype(np.uint8)), np.uint8)
+    tracemalloc.start()
+    syncmers.anchors(t, np.array([0, len(t)]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16 * len(t)
+
+
 def brute_pii(t):
     b = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     b += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
