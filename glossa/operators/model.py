@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,13 +72,13 @@ def document_bits(docs: DataFrame, trained: bool = True, by_huffman: bool = True
     else by 1 / number of tags; with_bytes: also (bytes), the text's size. Documents without words have no symbols: 0 bits, and null bpb where the text
     is empty."""
 
-    def one(m: streams.Marked, _: pa.Array, size: int) -> tuple:
+    def one(m: streams.Marked, _share, _tokens, size: int) -> tuple:
         own = streams.Model(*m.counts())
         w = streams.fold(streams.winners(m, own)) if trained else streams.EVEN
         bits = streams.bits(m, own, w, by_huffman)
         return len(m), bits, bits / size if size else None, *w, size
 
-    rows = streams.per_document(streams.token_rows(docs), "n_symbols long, bits double, bpb double, w_char double, w_morph double, w_struct double, bytes long", one)
+    rows = streams.per_document(docs, "n_symbols long, bits double, bpb double, w_char double, w_morph double, w_struct double, bytes long", one)
     rows = rows if with_bytes else rows.drop("bytes")
     return rows.withColumns({"bits": F.round("bits", 4), "bpb": F.round("bpb", 4)})
 
@@ -102,7 +101,7 @@ def unigram_bits(docs: DataFrame) -> DataFrame:
 def best_stream(docs: DataFrame) -> DataFrame:
     """(doc_id, best array<int>): for each character after its sentence's first, in order, which of the
     three distributions gives it most (the first on ties)."""
-    return streams.per_document(streams.token_rows(docs), "best array<int>", lambda m, *_: (streams.winners(m, streams.Model(*m.counts())).tolist(),)).where(F.size("best") > 0)
+    return streams.per_document(docs, "best array<int>", lambda m, *_: (streams.winners(m, streams.Model(*m.counts())).tolist(),)).where(F.size("best") > 0)
 
 
 def mixing_weights(docs: DataFrame) -> DataFrame:
