@@ -74,7 +74,7 @@ def tokens(s, d):
 
 @query
 def capitalise(s, d):
-    return relations.sentences(documents(s, d)).select("doc_id", "sent_id", text.capitalised(F.lower("sentence")).alias("line"))
+    return relations.sentences(documents(s, d)).select("doc_id", "sent_id", text.capitalised(text.lowered(F.col("sentence"))).alias("line"))
 
 
 @query

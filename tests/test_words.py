@@ -25,3 +25,18 @@ def test_same_as_columns(spark):
         assert (r.t0, r.t1) == tuple(dims.POS_TAGS[i] for i in words.tagged(r.word, b)), r.word
         assert r.k == words.known_only(r.root)
         assert [r[f"a{k}"] for k in range(13)] == [words.applied(r.root, k) for k in range(13)], r.root
+
+
+def test_capital_of_every_letter(spark):
+    """A first letter's capital is one character, as in SQL, also where full case mapping gives two.
+    Left out: letters whose capitals came with Unicode 16, which DuckDB lacks."""
+    import duckdb
+
+    from glossa.functions import text
+
+    table = duckdb.sql("SELECT chr(i::INTEGER) AS c, upper(chr(i::INTEGER)) || 'ßx' AS want FROM range(33, 65536) t(i) WHERE i NOT BETWEEN 55296 AND 57343 AND i NOT IN (411, 612, 7306, 42957, 42971)").fetchall()
+    got = spark.createDataFrame(table, "c string, want string").withColumn("got", text.capitalised(F.concat("c", F.lit("ßx")))).where("got <> want").collect()
+    assert not got
+    low = duckdb.sql("SELECT chr(i::INTEGER) || 'AΣ' AS c, lower(chr(i::INTEGER) || 'AΣ') AS want FROM range(33, 1500) t(i)").fetchall()
+    assert not spark.createDataFrame(low, "c string, want string").where(text.lowered(F.col("c")) != F.col("want")).collect()
+    assert spark.createDataFrame([("",), (None,)], "c string").select(text.capitalised(F.col("c")).alias("x")).collect() == [("",), (None,)]
